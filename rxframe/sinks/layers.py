@@ -12,6 +12,13 @@ from rxframe.sinks import upsert as U
 
 LINE_KEYS = ["source_file_hash", "line_id"]
 MATCH_KEYS = ["line_id"]
+LAYOUTS = {
+    "silver": schemas.SILVER,
+    "quarantine": schemas.SILVER,
+    "gold": schemas.GOLD,
+    "serving": schemas.GOLD,
+    "metrics": schemas.METRICS,
+}
 
 
 def latest(*first: str, columns: list[str]) -> list[Column]:
@@ -114,7 +121,7 @@ class Layers:
         return rows.filter(F.col("pipeline_run_id") == run_id) if run_id else rows
 
     def read(self, spark: SparkSession, layer: str, run_id: str | None = None) -> DataFrame:
-        rows = U.read_table(spark, getattr(self, layer))
+        rows = U.read_table(spark, getattr(self, layer), LAYOUTS.get(layer))
         return rows.filter(F.col("pipeline_run_id") == run_id) if run_id else rows
 
     def register(self, spark: SparkSession, database: str = "default") -> None:

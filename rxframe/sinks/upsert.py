@@ -35,7 +35,10 @@ def exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The table without its bucket column; with a ``schema``, a missing table is empty."""
+    if schema and not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.parquet(path).drop(BUCKET)
 
 
@@ -59,7 +62,7 @@ def upsert(
     if exists(spark, path):
         # Winners are written once: the merge below reads them twice.
         _write(winners, f"{staging}/updates")
-        winners = spark.read.parquet(f"{staging}/updates")
+        winners = spark.read.schema(winners.schema).parquet(f"{staging}/updates")
         # At most ``buckets`` numbers come back.
         touched = [r[0] for r in winners.select(BUCKET).distinct().collect()]
         if not touched:
@@ -67,7 +70,7 @@ def upsert(
         target = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched))
         kept = target.join(winners.select(*keys), keys, "left_anti")
         _write(kept.unionByName(winners), f"{staging}/merged")
-        _write(spark.read.parquet(f"{staging}/merged"), path)
+        _write(spark.read.schema(winners.schema).parquet(f"{staging}/merged"), path)
     else:
         _write(winners, path)
 
