@@ -145,7 +145,7 @@ def captures(spark: SparkSession, d: str) -> DataFrame:
         F.lit("local").alias("model_provider"),
         F.lit("v1").alias("prompt_version"),
         F.col("o_orderdate").cast("timestamp").alias("ingested_at"),
-        F.to_date("o_orderdate").alias("ingest_date"),
+        F.trunc("o_orderdate", "month").alias("ingest_date"),
     )
 
 
