@@ -16,44 +16,76 @@ def _respell(key: Column, spelling: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, key), key)
 
 
-def component(c: Column, spelling: dict[str, str] = K.SPELLING) -> Column:
-    """One ingredient text -> struct(key, strength); null when empty.
+def components_of(texts: Column, spelling: dict[str, str] = K.SPELLING) -> Column:
+    """Ingredient texts -> array of struct(key, strength), empty texts left out.
 
-    Reads "Name (500mg)", "Name 650mg" and "Name 75mg (remark)".
+    Reads "Name (500mg)", "Name 650mg" and "Name 75mg (remark)". Each step binds its results to the
+    array element, so no pattern runs twice on the same text.
     """
-    body = text.strip(F.regexp_replace(text.strip(c), r"^,+|,+$", ""))
-    bracket = F.regexp_extract(body, K.PAREN_STRENGTH_PATTERN, 2)
-    has_bracket = body.rlike(K.PAREN_STRENGTH_PATTERN)
-    before = F.regexp_extract(body, K.PAREN_STRENGTH_PATTERN, 1)
-    in_bracket = has_bracket & bracket.rlike(r"\d")
-    plain = F.when(has_bracket, text.strip(before)).otherwise(body)
-    glued = plain.rlike(K.GLUED_STRENGTH_PATTERN)
-    name = (
-        F.when(in_bracket, before)
-        .when(glued, F.regexp_extract(plain, K.GLUED_STRENGTH_PATTERN, 1))
-        .otherwise(plain)
+    bodies = F.filter(
+        F.transform(
+            texts, lambda t: text.strip(F.trim(text.strip(t), F.lit(",")))
+        ),
+        lambda b: b != "",
     )
-    strength = (
-        F.when(in_bracket, bracket)
-        .when(glued, F.regexp_extract(plain, K.GLUED_STRENGTH_PATTERN, 2))
-        .otherwise(F.lit(""))
+    split_off = F.transform(
+        bodies,
+        lambda b: F.struct(
+            b.alias("body"),
+            b.rlike(K.PAREN_STRENGTH_PATTERN).alias("has_bracket"),
+            F.regexp_extract(b, K.PAREN_STRENGTH_PATTERN, 1).alias("before"),
+            F.regexp_extract(b, K.PAREN_STRENGTH_PATTERN, 2).alias("bracket"),
+        ),
     )
-    key = F.lower(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")))
-    return F.when(
-        body != "",
-        F.struct(
-            _respell(key, spelling).alias("key"),
-            F.lower(F.regexp_replace(strength, r"(?U)\s+", "")).alias("strength"),
+    judged = F.transform(
+        split_off,
+        lambda p: F.struct(
+            (p["has_bracket"] & p["bracket"].rlike(r"\d")).alias("in_bracket"),
+            p["before"].alias("before"),
+            p["bracket"].alias("bracket"),
+            F.when(p["has_bracket"], text.strip(p["before"])).otherwise(p["body"]).alias("plain"),
+        ),
+    )
+    glued = F.transform(
+        judged,
+        lambda p: F.when(
+            p["in_bracket"],
+            F.struct(p["before"].alias("name"), p["bracket"].alias("strength")),
+        ).otherwise(
+            F.struct(
+                F.regexp_extract(p["plain"], K.GLUED_STRENGTH_PATTERN, 1).alias("name"),
+                F.regexp_extract(p["plain"], K.GLUED_STRENGTH_PATTERN, 2).alias("strength"),
+            )
+        ),
+    )
+    # A text without a strength is the name itself.
+    named = F.zip_with(
+        judged,
+        glued,
+        lambda p, g: F.struct(
+            F.lower(
+                F.trim(
+                    F.regexp_replace(
+                        F.when(g["strength"] == "", p["plain"]).otherwise(g["name"]),
+                        f"{text.BLANK}+",
+                        " ",
+                    )
+                )
+            ).alias("key"),
+            F.lower(F.regexp_replace(g["strength"], f"{text.BLANK}+", "")).alias("strength"),
+        ),
+    )
+    return F.transform(
+        named,
+        lambda n: F.struct(
+            _respell(n["key"], spelling).alias("key"), n["strength"].alias("strength")
         ),
     )
 
 
 def components(c: Column, spelling: dict[str, str] = K.SPELLING) -> Column:
     """A whole composition text, split on '+'."""
-    return F.filter(
-        F.transform(F.split(F.coalesce(c, F.lit("")), r"\+"), lambda p: component(p, spelling)),
-        lambda p: p.isNotNull(),
-    )
+    return components_of(F.split(F.coalesce(c, F.lit("")), r"\+"), spelling)
 
 
 def signature(parts: Column) -> Column:

@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from rxframe import constants as K
 
-# Unicode white space plus the four ASCII separators that also count as blanks.
-BLANK = r"[\s\x1c-\x1f]"
+# White space of any script, as pattern class and as plain letters.
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _blanks(c: Column, replacement: str = " ") -> Column:
-    return F.regexp_replace(c, f"(?U){BLANK}+", replacement)
+    return F.regexp_replace(c, f"{BLANK}+", replacement)
 
 
 def strip(c: Column) -> Column:
     """Trim any Unicode white space at both ends; null becomes ''."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), f"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.trim(F.coalesce(c, F.lit("")), F.lit(BLANKS))
 
 
 def norm(c: Column) -> Column:
@@ -27,12 +32,12 @@ def norm(c: Column) -> Column:
 
 
 def strip_form_prefix(c: Column, prefixes: list[str] = K.FORM_PREFIXES) -> Column:
-    return F.regexp_replace(c, rf"(?iU)^({'|'.join(prefixes)})\.?{BLANK}+", "")
+    return F.regexp_replace(c, rf"(?i)^({'|'.join(prefixes)})\.?{BLANK}+", "")
 
 
 def strip_form_suffix(c: Column) -> Column:
     qualifiers, forms = "|".join(K.FORM_SUFFIX_QUALIFIERS), "|".join(K.FORM_SUFFIXES)
-    pattern = rf"(?iU)({BLANK}+({qualifiers}))*{BLANK}+({forms}){BLANK}*$"
+    pattern = rf"(?i)({BLANK}+({qualifiers}))*{BLANK}+({forms}){BLANK}*$"
     return F.trim(F.regexp_replace(c, pattern, ""))
 
 

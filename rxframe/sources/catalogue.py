@@ -25,23 +25,24 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def import_products(rows: DataFrame, spelling: dict[str, str] = K.SPELLING) -> DataFrame:
     """Sellable products with a readable price and at least one ingredient."""
-    parts = F.filter(
-        F.array(
-            composition.component(F.col("short_composition1"), spelling),
-            composition.component(F.col("short_composition2"), spelling),
-        ),
-        lambda p: p.isNotNull(),
-    )
+    def stated(column: str):
+        return text.strip(F.trim(text.strip(F.col(column)), F.lit(","))) != ""
+
+    price = text.strip(F.col("price")).try_cast("double")
     parsed = rows.filter(
-        ~(F.upper(text.strip(F.col("is_discontinued"))) == "TRUE")
+        (F.upper(text.strip(F.col("is_discontinued"))) != "TRUE")
+        & (price > 0)
+        & (stated("short_composition1") | stated("short_composition2"))
     ).select(
         "pos",
         text.strip(F.col("name")).alias("name"),
         text.strip(F.col("pack")).alias("pack"),
-        text.strip(F.col("price")).try_cast("double").alias("price"),
-        parts.alias("parts"),
+        price.alias("price"),
+        composition.components_of(
+            F.array("short_composition1", "short_composition2"), spelling
+        ).alias("parts"),
     )
-    return parsed.filter((F.col("price") > 0) & (F.size("parts") > 0)).select(
+    return parsed.select(
         "pos",
         "name",
         text.norm(F.col("name")).alias("name_norm"),
