@@ -59,7 +59,11 @@ def rx_lines(spark: SparkSession, d: str) -> DataFrame:
         )
     )
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    paged = items.join(pages, "l_orderkey").withColumn("page", F.pmod(draw, F.col("pages")))
+    paged = (
+        items.join(pages, "l_orderkey")
+        .withColumn("page", F.pmod(draw, F.col("pages")))
+        .repartition("l_orderkey", "page")
+    )
     order = Window.partitionBy("l_orderkey", "page").orderBy(*LINE_ORDER)
     part = table(spark, d, "part").select(
         F.col("p_partkey").alias("l_partkey"), _short_name().alias("name")

@@ -433,6 +433,12 @@ oracle(
       'scan_' || doc_id || '.JPG' AS source_path, 'image/jpeg' AS media_type,
       strlen(text) AS size_bytes, '2026-01-01' AS ingest_date FROM documents""",
 )
+for name in ("landing_scan", "incremental_landing"):
+    oracle(
+        name,
+        sql="""SELECT 'image/png' AS media_type, sum(length(base64(encode(text))) + 1)::BIGINT AS bytes,
+          true AS no_repeats FROM documents""",
+    )
 oracle("term_index", "term_rows", sql="SELECT * FROM term_rows")
 oracle(
     "search_names",

@@ -263,12 +263,18 @@ def _landing_folder(spark, d) -> str:
     return folder
 
 
+def _landed(rows):
+    """Bytes taken in; how the documents fall into files is up to Spark."""
+    return rows.groupBy("media_type").agg(
+        F.sum("size_bytes").alias("bytes"),
+        (F.count(F.lit(1)) == F.countDistinct("source_file_hash")).alias("no_repeats"),
+    )
+
+
 @query
 def landing_scan(spark, d):
     files = landing.scan(spark, _landing_folder(spark, d))
-    return landing.lineage(files, "run_1", X.processed_at()).select(
-        "source_file_hash", "media_type", "size_bytes"
-    )
+    return _landed(landing.lineage(files, "run_1", X.processed_at()))
 
 
 @query
@@ -279,7 +285,7 @@ def incremental_landing(spark, d):
         ingest.ingest_new_files(
             spark, folder, f"{root}/ingest", f"{root}/checkpoint", "run_1"
         ).awaitTermination()
-    return spark.read.parquet(f"{root}/ingest").select("source_file_hash", "media_type", "size_bytes")
+    return _landed(spark.read.parquet(f"{root}/ingest"))
 
 
 @query

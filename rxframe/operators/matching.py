@@ -136,19 +136,19 @@ def match_names(
 ) -> DataFrame:
     """Best product per distinct normalised name: (q_norm, score, name, salt, price, signature)."""
     reps = representatives(products)
+    keep = ["q_norm", "score", "name", "salt", "price", "signature"]
     queries = settle(
-        names.select(
-            "q_norm", text.block_key(F.col("q_norm"), form_prefixes).alias("block")
-        ).distinct(),
+        names.select("q_norm")
+        .filter("q_norm <> ''")
+        .distinct()
+        .join(reps, F.col("q_norm") == F.col("name_norm"), "left")
+        .withColumn("block", text.block_key(F.col("q_norm"), form_prefixes)),
         "names",
     )
-    keep = ["q_norm", "score", "name", "salt", "price", "signature"]
-    same = queries.join(reps, F.col("q_norm") == F.col("name_norm")).withColumn(
-        "score", F.lit(100)
-    )
-    rest = queries.join(reps.select("name_norm"), F.col("q_norm") == F.col("name_norm"), "left_anti")
+    same = queries.filter("name_norm IS NOT NULL").withColumn("score", F.lit(100))
+    rest = queries.filter("name_norm IS NULL")
     best = scoring.best_per_query(
-        rest.select("block", F.col("q_norm").alias("text")).filter("text <> ''"),
+        rest.select("block", F.col("q_norm").alias("text")),
         reps.select(
             F.col("block_key").alias("block"),
             F.col("name_norm").alias("text"),
@@ -225,9 +225,13 @@ def match_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
     same first three letters from 85, which wins ties against the curated one.
     """
     order = F.struct("tier", "pos", "variant").alias("ord")
-    asked = settle(queries.select("term").filter("term <> ''").distinct(), "terms")
-    exact = asked.join(terms, "term").select("term", "tier", "pos", F.lit(100).alias("match_score"))
-    rest = asked.join(terms.select("term"), "term", "left_anti")
+    asked = settle(
+        queries.select("term").filter("term <> ''").distinct().join(terms, "term", "left"), "terms"
+    )
+    exact = asked.filter("pos IS NOT NULL").select(
+        "term", "tier", "pos", F.lit(100).alias("match_score")
+    )
+    rest = asked.filter("pos IS NULL").select("term")
 
     one_block = F.lit("").alias("block")
     text_col = F.col("term").alias("text")

@@ -98,11 +98,12 @@ def admissions(
         )
     )
     by_id = Window.partitionBy("client", "at").orderBy("event_id")
+    # Only the first ``limit`` hits of a moment can be admitted; the rest never leave their task.
     chosen = (
         hits.select("event_id", "client", "at")
-        .join(passed, ["client", "at"])
         .withColumn("_rank", F.row_number().over(by_id))
         .filter(F.col("_rank") <= limit)
+        .join(passed, ["client", "at"])
         .filter(F.col("_rank") <= F.col("admitted"))
         .select("event_id", F.lit(True).alias("admitted"))
     )

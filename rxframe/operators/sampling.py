@@ -12,6 +12,25 @@ def _draw(seed: int, *parts):
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def _smallest(drawn: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest draws.
+
+    Draws are 32-bit numbers, counted in 65,536 ranges. Ranges below the cut are taken whole; only
+    the one range the cut falls into is sorted.
+    """
+    ranged = drawn.withColumn("range", F.shiftright("draw", 16).cast("int"))
+    counts = ranged.groupBy("range").count().orderBy("range").collect()  # 65,536 rows at most
+    left, cut = n, -1
+    for row in counts:
+        cut = row["range"]
+        if row["count"] >= left:
+            break
+        left -= row["count"]
+    below = ranged.filter(F.col("range") < cut)
+    edge = ranged.filter(F.col("range") == cut).orderBy("draw", "pos").limit(left)
+    return below.unionByName(edge).drop("draw", "range")
+
+
 def noisy_sample(names: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """``n`` rows of names(pos, name), repeated past the population; about half of the longer names
     lose one middle letter."""
@@ -20,11 +39,18 @@ def noisy_sample(names: DataFrame, n: int, seed: int = 7) -> DataFrame:
         return names.select(
             F.lit("").alias("line_id"), "name", F.col("name").alias("noisy")
         ).limit(0)
-    copies = -(-n // population)
-    drawn = names.select(
-        "pos", "name", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")
-    ).withColumn("draw", _draw(seed, F.col("copy"), F.col("pos")))
-    picked = drawn.orderBy("copy", "draw", "pos").limit(n)
+    whole, rest = divmod(n, population)
+
+    def copies(first: int, last: int) -> DataFrame:
+        return names.select(
+            "pos", "name", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("copy")
+        )
+
+    picked = _smallest(
+        copies(whole, whole).withColumn("draw", _draw(seed, F.col("copy"), F.col("pos"))), rest
+    )
+    if whole:
+        picked = copies(0, whole - 1).unionByName(picked)
     size = F.length("name")
     cut = F.lit(2) + F.pmod(_draw(seed + 1, F.col("copy"), F.col("pos")), size - 2).cast("int")
     hurt = (size >= 5) & (F.pmod(_draw(seed + 2, F.col("copy"), F.col("pos")), F.lit(2)) == 0)

@@ -65,14 +65,12 @@ def best_per_query(
         )
     )
     spread = F.xxhash64("text")
+    # The join with ``sizes`` may leave rows spread by block alone, so chunks are spread explicitly.
     left = (
         queries.join(sizes, "block")
-        .groupBy(
-            "block",
-            F.pmod(spread, F.col("q_chunks")).alias("q_chunk"),
-            "c_chunks",
-            "salts",
-        )
+        .withColumn("q_chunk", F.pmod(spread, F.col("q_chunks")))
+        .repartition(tasks, "block", "q_chunk")
+        .groupBy("block", "q_chunk", "c_chunks", "salts")
         .agg(F.collect_list("text").alias("q_texts"))
         .select(
             "block",
@@ -84,9 +82,9 @@ def best_per_query(
     )
     right = (
         candidates.join(sizes, "block")
-        .groupBy(
-            "block", F.pmod(spread, F.col("c_chunks")).cast("int").alias("c_chunk"), "salts"
-        )
+        .withColumn("c_chunk", F.pmod(spread, F.col("c_chunks")).cast("int"))
+        .repartition(tasks, "block", "c_chunk")
+        .groupBy("block", "c_chunk", "salts")
         .agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("c_items"))
         .select(
             "block",

@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rxframe import schemas
 from rxframe.operators import matching, quality, reports
 from rxframe.operators.captures import parse_captures
 from rxframe.session import settle
@@ -69,6 +70,14 @@ def refine(
     return checked, matched
 
 
+def _metrics_row(spark, run_id, started, durations, status):
+    return spark.createDataFrame(
+        [(run_id, started, datetime.now(timezone.utc), durations, status)],
+        "pipeline_run_id string, run_started_at timestamp, run_finished_at timestamp, "
+        "stage_durations_sec map<string,double>, status string",
+    )
+
+
 def run(
     spark: SparkSession,
     captures: DataFrame,
@@ -77,10 +86,28 @@ def run(
     run_id: str | None = None,
     scorer: str = "weighted",
 ) -> DataFrame:
-    """One whole run over new captures; returns its metrics row."""
+    """One whole run over new captures; returns its metrics row.
+
+    A run that breaks off leaves a metrics row whose status names the stage it reached.
+    """
     run_id = clean_run_id(run_id) if run_id else new_run_id()
     started = datetime.now(timezone.utc)
     durations: dict[str, float] = {}
+    try:
+        return _run(spark, captures, products, layers, run_id, scorer, started, durations)
+    except Exception:
+        stages = ["bronze", "normalize", "silver", "match", "gold", "load", "metrics"]
+        status = f"{next(s for s in stages if s not in durations)}_failed"
+        empty = spark.createDataFrame([], schemas.METRICS)
+        broken = empty.unionByName(
+            _metrics_row(spark, run_id, started, durations, status), allowMissingColumns=True
+        )
+        layers.append_metrics(broken)
+        layers.mirror_metrics(broken)
+        raise
+
+
+def _run(spark, captures, products, layers, run_id, scorer, started, durations) -> DataFrame:
     begin = time.monotonic()
     bronze = settle(captures.withColumn("pipeline_run_id", F.lit(run_id)), "captures")
     layers.append_bronze(bronze)
@@ -89,11 +116,7 @@ def run(
     begin = time.monotonic()
     layers.publish(matched)
     durations["load"] = round(time.monotonic() - begin, 2)
-    runs = spark.createDataFrame(
-        [(run_id, started, datetime.now(timezone.utc), durations, "success")],
-        "pipeline_run_id string, run_started_at timestamp, run_finished_at timestamp, "
-        "stage_durations_sec map<string,double>, status string",
-    )
+    runs = _metrics_row(spark, run_id, started, durations, "success")
     metrics = settle(
         reports.run_metrics(
             runs,
