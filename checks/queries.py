@@ -258,7 +258,7 @@ def landing_hash(spark, d):
 def _landing_folder(spark, d) -> str:
     """The documents written as files with an image extension."""
     folder = f"{session.scratch_root(spark)}/landing"
-    rows = X.table(spark, d, "documents").select(F.base64(F.encode("text", "utf-8")).alias("text"))
+    rows = X.table(spark, d, "documents").select(F.hex(F.encode("text", "utf-8")).alias("text"))
     rows.write.option("extension", "PNG").csv(folder)
     return folder
 

@@ -16,25 +16,31 @@ def _first_given(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
 
 
+def document(raw: Column) -> Column:
+    """The JSON text as the only element of an array, so that text after the value is an error."""
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+
+
 def parse_captures(bronze: DataFrame, processed_at: Column | None = None) -> DataFrame:
     """One row per medicine of every capture.
 
     The document is parsed once, as a variant. Text that is no JSON, or JSON of another shape,
     becomes a single flagged line; a document without ``medicines`` gives no lines.
     """
-    doc = F.try_parse_json("raw_response")
     captures = bronze.select(
-        "source_file_hash", "pipeline_run_id", doc.alias("doc")
-    ).withColumn(
-        "medicines", F.try_variant_get("doc", "$.medicines", schemas.MEDICINES)
+        "source_file_hash", "pipeline_run_id", document(F.col("raw_response")).alias("doc")
+    ).withColumn("medicines", F.try_variant_get("doc", "$[0].medicines", schemas.MEDICINES))
+    fits = F.col("medicines").isNotNull() & ~F.exists("medicines", lambda m: m.isNull())
+    broken = (
+        F.try_variant_get("doc", "$[0]", "variant").isNull()
+        | F.try_variant_get("doc", "$[1]", "variant").isNotNull()
     )
-    absent = F.schema_of_variant("doc").startswith("OBJECT") & F.try_variant_get(
-        "doc", "$.medicines", "variant"
-    ).isNull()
+    absent = F.schema_of_variant(F.try_variant_get("doc", "$[0]", "variant")).startswith(
+        "OBJECT"
+    ) & F.try_variant_get("doc", "$[0].medicines", "variant").isNull()
     reason = (
-        F.when(F.col("medicines").isNotNull(), F.lit(None).cast("string"))
-        .when(F.col("doc").isNull(), F.lit(UNPARSEABLE))
-        .when(absent, F.lit(None).cast("string"))
+        F.when(broken, F.lit(UNPARSEABLE))
+        .when(fits | absent, F.lit(None).cast("string"))
         .otherwise(F.lit(MALFORMED))
     )
     blank_line = F.array(F.lit(None).cast(schemas.MEDICINES[6:-1]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rxframe import constants as K
 from rxframe.functions import text
+from rxframe.operators.captures import document
 
 
 def first_failure() -> Column:
@@ -80,5 +81,5 @@ def given_names(requests: DataFrame, column: str = "name") -> DataFrame:
 
 def prescriptions_only(captures: DataFrame) -> DataFrame:
     """Captures whose document says it is a prescription."""
-    doc = F.try_parse_json("raw_response")
-    return captures.filter(F.try_variant_get(doc, "$.is_prescription", "boolean"))
+    doc = document(F.col("raw_response"))
+    return captures.filter(F.try_variant_get(doc, "$[0].is_prescription", "boolean"))
