@@ -683,7 +683,7 @@ oracle(
       2 AS history_rows FROM metrics""",
 )
 oracle(
-    "pipeline_health",
+    "run_health",
     "metrics",
     "matched",
     sql=f"""SELECT 'ok' AS status, NULL::VARCHAR AS detail, pipeline_run_id AS last_run_id,

@@ -670,7 +670,7 @@ def metrics_mirror(spark, d):
 
 
 @query
-def pipeline_health(spark, d):
+def run_health(spark, d):
     metrics, matched = _metrics(spark, d)
     health = reports.pipeline_health(metrics, matched)
     return health.withColumns(
