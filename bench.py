@@ -50,7 +50,7 @@ def main() -> None:
     )
     prepare = time.perf_counter() - begin
     groups = catalogue.signature_groups(products)
-    terms = matching.term_index(curated, products)
+    terms = session.settle(matching.term_index(curated, products), "terms")
     rules = X.rules(spark, d)
     items = X.table(spark, d, "lineitem")
     keys = ["l_orderkey", "l_linenumber"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rxframe.functions import text
 from rxframe.operators import matching
 from rxframe.plans.lookup import Reference
+from rxframe.session import settle
 from rxframe.sources import catalogue
 
 SPELLING = {"blue": "red", "cold": "hot"}
@@ -232,6 +233,11 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
     return matching.term_index(curated(spark, d), products(spark, d))
 
 
+def stored_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The search terms as a written table: matching reads them several times."""
+    return settle(terms(spark, d), "terms")
+
+
 def rules(spark: SparkSession, d: str) -> DataFrame:
     """Interaction rules: one per distinct part name, between its two words."""
     return (
@@ -251,7 +257,9 @@ def rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference(spark: SparkSession, d: str) -> Reference:
-    return Reference(terms(spark, d), entries(spark, d), products(spark, d), rules(spark, d))
+    return Reference(
+        stored_terms(spark, d), entries(spark, d), products(spark, d), rules(spark, d)
+    )
 
 
 def baskets(spark: SparkSession, d: str) -> DataFrame:

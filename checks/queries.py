@@ -391,14 +391,14 @@ def unmatched_report(spark, d):
 @query
 def tiered_match(spark, d):
     names = _clean(spark, d).select("line_id", F.col("drug_name_normalized").alias("name"))
-    return matching.tiered_match(names, X.terms(spark, d))
+    return matching.tiered_match(names, X.stored_terms(spark, d))
 
 
 @query
 def best_of_two(spark, d):
     lines = _clean(spark, d).select("line_id", "drug_name_raw", "drug_name_normalized")
     return matching.best_of_two(
-        lines, X.terms(spark, d), "drug_name_raw", "drug_name_normalized"
+        lines, X.stored_terms(spark, d), "drug_name_raw", "drug_name_normalized"
     )
 
 
@@ -420,7 +420,7 @@ def match_quality(spark, d):
         F.lit("benchmark").alias("pipeline_run_id"),
     )
     batch = matching.match_lines(lines, items, catalogue.signature_groups(items))
-    tiered = matching.tiered_match(noisy.select("line_id", F.col("noisy").alias("name")), X.terms(spark, d))
+    tiered = matching.tiered_match(noisy.select("line_id", F.col("noisy").alias("name")), X.stored_terms(spark, d))
     return sampling.match_quality(batch, tiered)
 
 
@@ -463,7 +463,11 @@ def medicine_detail(spark, d):
     """Details of every product under its exact name."""
     names = X.products(spark, d).select("name").distinct()
     detail = alternatives.medicine_detail(
-        names, X.terms(spark, d), X.entries(spark, d), X.products(spark, d), _salt_info(spark, d)
+        names,
+        X.stored_terms(spark, d),
+        X.entries(spark, d),
+        X.products(spark, d),
+        _salt_info(spark, d),
     )
     return detail.select(
         "name", "brand", "salt", "category", "brand_price", "generic_name", "generic_price",
