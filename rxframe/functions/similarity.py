@@ -16,7 +16,7 @@ WORD = 64  # letters that fit one machine word
 class Texts:
     """A list of texts as letter codes over one shared alphabet, with word statistics."""
 
-    def __init__(self, texts: list[str], alphabet: dict[int, int]):
+    def __init__(self, texts: list[str], alphabet: np.ndarray):
         self.texts = texts
         self.n = len(texts)
         self.codes, self.length = _encode(texts, alphabet)
@@ -42,19 +42,19 @@ class Texts:
         return out[:, 1:]
 
 
-def alphabet_of(*lists: list[str]) -> dict[int, int]:
-    letters = set()
-    for texts in lists:
-        letters.update(map(ord, "".join(texts)))
-    return {letter: i + 1 for i, letter in enumerate(sorted(letters))}
+def _letters(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
 
 
-def _encode(texts: list[str], alphabet: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    length = np.fromiter((len(t) for t in texts), dtype=np.int32, count=len(texts))
+def alphabet_of(*lists: list[str]) -> np.ndarray:
+    """Sorted distinct letters; a letter's code is its place, counted from 1."""
+    return np.unique(np.concatenate([_letters(texts) for texts in lists]))
+
+
+def _encode(texts: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = np.fromiter(map(len, texts), dtype=np.int32, count=len(texts))
     width = max(1, int(length.max(initial=0)))
-    flat = np.fromiter(
-        (alphabet[ord(c)] for t in texts for c in t), dtype=np.int32, count=int(length.sum())
-    )
+    flat = np.searchsorted(alphabet, _letters(texts)).astype(np.int32) + 1
     codes = np.zeros((len(texts), width), dtype=np.int32)
     codes[np.arange(width)[None, :] < length[:, None]] = flat
     return codes, length
@@ -162,7 +162,7 @@ def partial_ratio(a: Texts, ia: np.ndarray, b: Texts, ib: np.ndarray) -> np.ndar
 class Words:
     """Word-level view of a list of texts."""
 
-    def __init__(self, texts: list[str], alphabet: dict[int, int]):
+    def __init__(self, texts: list[str], alphabet: np.ndarray):
         split = [t.split() for t in texts]
         self.sets = [frozenset(w) for w in split]
         self.sorted = Texts([" ".join(sorted(w)) for w in split], alphabet)

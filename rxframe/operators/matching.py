@@ -135,7 +135,7 @@ def match_names(
     form_prefixes: list[str] = K.FORM_PREFIXES_SHORT,
 ) -> DataFrame:
     """Best product per distinct normalised name: (q_norm, score, name, salt, price, signature)."""
-    reps = representatives(products)
+    reps = settle(representatives(products), "products")
     keep = ["q_norm", "score", "name", "salt", "price", "signature"]
     queries = settle(
         names.select("q_norm")
@@ -152,12 +152,18 @@ def match_names(
         reps.select(
             F.col("block_key").alias("block"),
             F.col("name_norm").alias("text"),
-            F.struct("name", "price", "pos", "salt", "signature").alias("ord"),
+            F.col("name").alias("ord"),
         ),
         scorer=scorer,
     )
-    near = best.select(
-        F.col("text").alias("q_norm"), F.col("score").cast("int").alias("score"), "ord.*"
+    # Product columns are joined to the winners, so they never travel with the candidate chunks.
+    near = best.join(reps, F.col("candidate") == F.col("name_norm")).select(
+        F.col("text").alias("q_norm"),
+        F.col("score").cast("int").alias("score"),
+        "name",
+        "salt",
+        "price",
+        "signature",
     )
     return same.select(keep).unionByName(near.select(keep))
 
