@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,8 +22,31 @@ def build(app: str = "rxframe", master: str | None = None, **conf: str) -> Spark
     return prepare(builder.getOrCreate())
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers import the scoring code; they need not share the driver's folder or have it installed.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="rxframe-"), "rxframe"),
+        "zip",
+        root_dir=os.path.dirname(package),
+        base_dir=os.path.basename(package),
+    )
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings every operator relies on; deployment sizing stays with the cluster."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
