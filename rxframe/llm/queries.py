@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rxframe.llm import exact_dedup, mixing
+from rxframe.llm import exact_dedup, mixing, packing, warc
 from rxframe.llm.common import lean, table
-from rxframe.session import settle
+from rxframe.session import scratch_root, settle
 
 
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
@@ -14,6 +14,18 @@ def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(lean(spark), d, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op7_warc(spark: SparkSession, d: str) -> DataFrame:
+    root = f"{scratch_root(lean(spark))}/warc"
+    warc.write(table(spark, d, "pages"), root)
+    return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(lean(spark), d, "documents")
     slim = settle(exact_dedup.fingerprints(docs).select("doc_id", "text_sha256", "text_length"), "fingerprints")
@@ -22,5 +34,7 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op4_mixing": op4_mixing,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_warc": op7_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
