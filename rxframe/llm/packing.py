@@ -34,7 +34,7 @@ CAPACITY = 4096
 END = 1
 ROWS_PER_PART = 20_000
 #: Words whose ids a task remembers, and characters of a text that are split at once.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 SLICE = 1 << 20
 
 _tokenizers: dict = {}
@@ -70,13 +70,15 @@ class Encoder:
         parts = []
         for piece in self._slices(text):
             words = piece.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            new = set(words) - self.known.keys()
+            known = self.known
+            new = [w for w in set(words) if w not in known]
+            if len(known) + len(new) > REMEMBERED:
+                # Words met first are the frequent ones.
+                known = self.known = dict(itertools.islice(known.items(), REMEMBERED // 2))
+                new = [w for w in set(words) if w not in known]
             if new:
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known, new = {}, set(words)
-                ordered = list(new)
-                found = self.tokenizer.encode_batch(ordered, add_special_tokens=False)
-                self.known.update(zip(ordered, (e.ids for e in found), strict=True))
+                found = self.tokenizer.encode_batch(new, add_special_tokens=False)
+                known.update(zip(new, (e.ids for e in found), strict=True))
             parts.append(np.fromiter(itertools.chain.from_iterable(map(self.known.__getitem__, words)), "<u4"))
         return np.concatenate(parts)
 
