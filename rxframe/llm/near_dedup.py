@@ -24,6 +24,7 @@ without id is kept and links with nothing; rows that repeat an id count as one d
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ COORDINATES = 64
 MATCH = 40
 ROUNDS = 4
 REMEMBERED = 300_000
+#: Shingles of centres that a task remembers.
+CENTER_SHINGLES = 1_000_000
 SEED = 20_240_501
 #: Odd multipliers that mix word hashes into shingle hashes.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype="u8")
@@ -52,9 +55,10 @@ _words: dict[bytes, int] = {}
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     global _words
-    new = set(words) - _words.keys()
+    new = [w for w in set(words) if w not in _words]
     if len(_words) + len(new) > REMEMBERED:
-        _words, new = {}, set(words)
+        _words = dict(itertools.islice(_words.items(), REMEMBERED // 2))
+        new = [w for w in set(words) if w not in _words]
     _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
     return np.fromiter(map(_words.__getitem__, words), "u8", len(words))
 
@@ -137,12 +141,16 @@ def check(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Full sets of each pair ``a`` (centre), ``b`` compared: sizes, shared shingles, and those of ``b`` alone."""
 
     def compare(batches):
-        last, center = None, None
+        centers, held = {}, 0
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb").to_pylist(), strict=True):
-                if a != last:
-                    last, center = a, shingles(ta.as_py(), width)
+                center = centers.get(a)
+                if center is None:
+                    if held > CENTER_SHINGLES:
+                        centers, held = {}, 0
+                    center = centers[a] = shingles(ta.as_py(), width)
+                    held += len(center)
                 other = shingles(tb, width)
                 inside = np.isin(other, center, assume_unique=True)
                 for values, value in zip(rows, (len(center), len(other), int(inside.sum()), other[~inside].astype("i8")), strict=True):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rxframe.llm import exact_dedup, mixing, packing, warc
+from rxframe.llm import exact_dedup, mixing, near_dedup, packing, warc
 from rxframe.llm.common import lean, table
 from rxframe.session import scratch_root, settle
 
@@ -14,6 +14,10 @@ def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(lean(spark), d, "documents"), width=3, percent=85)
+
+
 def op6_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(lean(spark), d, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
@@ -34,6 +38,7 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op4_mixing": op4_mixing,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
     "op10_exact_dedup": op10_exact_dedup,

@@ -191,7 +191,7 @@ def write(
 
     sorted_rows = (
         rows.withColumn("shard", shard)
-        .repartitionByRange(len(at) + 1, "shard")
+        .repartitionById(len(at) + 1, F.col("shard").cast("int"))
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "revisit", "payload")
     )
     return commit(settle(sorted_rows.mapInArrow(store, WRITTEN), "written"), root)
@@ -213,6 +213,9 @@ def commit(written: DataFrame, root: str) -> DataFrame:
 
     spark = written.sparkSession
     written.mapInArrow(rename, WRITTEN).drop("temp").write.mode("overwrite").parquet(f"{root}/manifest")
+    fs, path = filesystem(root)
+    if fs.get_file_info(f"{path}/_temporary").type == afs.FileType.Directory:
+        fs.delete_dir(f"{path}/_temporary")  # what lost attempts left
     return spark.read.schema(WRITTEN).parquet(f"{root}/manifest").drop("temp")
 
 
