@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rxframe.llm import exact_dedup, mixing, near_dedup, packing, warc
+from rxframe.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, warc
 from rxframe.llm.common import lean, table
 from rxframe.session import scratch_root, settle
 
 
+def op1_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(lean(spark), d, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, d, "labels")))
+
+
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     sized = mixing.numbered(mixing.sizes(table(lean(spark), d, "documents")))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
@@ -30,6 +35,10 @@ def op7_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(lean(spark), d, "embeddings"))
+
+
 def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(lean(spark), d, "documents")
     slim = settle(exact_dedup.fingerprints(docs).select("doc_id", "text_sha256", "text_length"), "fingerprints")
@@ -37,9 +46,11 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op4_mixing": op4_mixing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
