@@ -75,6 +75,30 @@ def maybe_repeated(rows: DataFrame, digest: str, filter_bits: DataFrame, bits: i
     return out.withColumn("maybe", F.col("_m0") & F.col("_m1")).drop("_m0", "_m1")
 
 
+def filter_bits(n_rows: int, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> int:
+    wanted = max(CHUNK, n_rows * bits_per_row)
+    return min(max_bits, 1 << (wanted - 1).bit_length())
+
+
+def may_match(rows: DataFrame, keys: list[str], side: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: whether the key may be among those of ``side``; nothing of ``rows`` shuffles."""
+    bits = filter_bits(side.count())
+    key = side.select(F.xxhash64(*keys).alias("_key"))
+    found = settle(repeated_bits(key.union(key), "_key", bits), "wanted")
+    return maybe_repeated(rows.withColumn("_key", F.xxhash64(*keys)), "_key", found, bits).drop("_key")
+
+
+def join_few(rows: DataFrame, keys: list[str], side: DataFrame) -> DataFrame:
+    """Left join of ``rows`` with ``side`` (one row a key), in which rows that match nothing hardly ever shuffle."""
+    values = [c for c in side.columns if c not in keys]
+    tested = may_match(rows, keys, side)
+    other = side.select(*[F.col(k).alias(f"_{k}") for k in keys], *values)
+    some = tested.filter("maybe").join(other, [F.col(k) == F.col(f"_{k}") for k in keys], "left").select(*rows.columns, *values)
+    kinds = dict(side.dtypes)
+    none = tested.filter("NOT maybe").select(*rows.columns, *[F.lit(None).cast(kinds[v]).alias(v) for v in values])
+    return none.unionByName(some)
+
+
 def mark(
     rows: DataFrame,
     digest: str = "text_sha256",
@@ -85,8 +109,7 @@ def mark(
 ) -> DataFrame:
     """``rows`` with ``keep_id``, ``group_size`` and ``kept`` by equal ``digest``."""
     key = rows[f"`{digest}`"]
-    wanted = max(CHUNK, rows.count() * bits_per_row)
-    bits = min(max_bits, 1 << (wanted - 1).bit_length())
+    bits = filter_bits(rows.count(), bits_per_row, max_bits)
     found = settle(repeated_bits(rows.select(key.alias("digest")), "digest", bits), "repeated_bits")
     work = packed(rows, digest=key, length=rows[f"`{length}`"], ident=rows[f"`{ident}`"])
     work = maybe_repeated(work, "digest", found, bits)

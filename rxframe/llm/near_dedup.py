@@ -168,10 +168,7 @@ def check(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 def texts_of(docs: DataFrame, ids: DataFrame, ident: str, text: str) -> DataFrame:
     """``id`` and ``text`` of the documents in ``ids``; a bounded filter stops most others before the shuffle."""
     rows = docs.select(column(docs, ident, "long").alias("id"), column(docs, text, "string").alias("text"))
-    wanted = max(exact_dedup.CHUNK, ids.count() * exact_dedup.BITS_PER_ROW)
-    bits = min(exact_dedup.MAX_BITS, 1 << (wanted - 1).bit_length())
-    found = settle(exact_dedup.repeated_bits(ids.select("id").union(ids.select("id")), "id", bits), "wanted")
-    likely = exact_dedup.maybe_repeated(rows, "id", found, bits).filter("maybe").select("id", "text")
+    likely = exact_dedup.may_match(rows, ["id"], ids).filter("maybe").select("id", "text")
     return likely.join(ids.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_semi")
 
 

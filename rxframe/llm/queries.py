@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rxframe.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, warc
+from rxframe.llm import embedding_dedup, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, quotations, warc
 from rxframe.llm.common import lean, table
 from rxframe.session import scratch_root, settle
 
@@ -14,6 +15,15 @@ def op1_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, d, "labels")))
 
 
+def op2_quotation_linking(spark: SparkSession, d: str) -> DataFrame:
+    return quotations.conversations(table(lean(spark), d, "conversations"))
+
+
+def op3_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = licenses.scan(table(lean(spark), d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text_digest", F.array_join("licenses", ",").alias("licenses"), F.array_join("notices", ",").alias("notices"))
+
+
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     sized = mixing.numbered(mixing.sizes(table(lean(spark), d, "documents")))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
@@ -35,6 +45,11 @@ def op7_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    found = line_dedup.dedup(table(lean(spark), d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(lean(spark), d, "embeddings"))
 
@@ -47,10 +62,13 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_quotation_linking": op2_quotation_linking,
+    "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
+    "op8_line_dedup": op8_line_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
