@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rxframe.llm.common import WORD, column, parts_for, running
+from rxframe.llm.common import WORD, column, packed, parts_for, running
 from rxframe.session import settle
 
 WEIGHTS = (5, 2, 1)
@@ -101,3 +101,12 @@ def mix(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed
     return known.join(taken, "row_id", "left").select(
         "row_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
+
+
+def apply(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """``docs`` as often as the mix takes them. Ids are taken as unique; rows that repeat one come as often as it."""
+    taken = schedule(numbered(sizes(docs, ident, text, source)), **how)
+    copies = taken.groupBy("doc_id").agg((F.max("round") + 1).alias("_copies")).select(F.col("doc_id").alias("_taken"), "_copies")
+    rows = packed(docs, _id=column(docs, ident, "long")).join(copies, F.col("_id").eqNullSafe(F.col("_taken")))
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -14,8 +14,8 @@
    After ``rounds`` rounds, whatever is still open is compared pair by pair.
 4. Every link is confirmed on full sets; documents get the smallest id of their component.
 
-The only chance involved is a pair at the threshold matching on fewer than ``match`` coordinates: with 64
-coordinates and 40 matches less than 1e-5 at a similarity of 0.85.
+The only chance involved is a pair at the threshold matching on fewer than ``match`` coordinates; ``match`` is the
+greatest number for which that is less likely than ``MISS``, and more similar pairs miss far less often.
 
 Defined cases: null or blank text has an empty set and links with nothing; fewer words than a shingle form one
 shingle; sets of so few shingles that only an equal set reaches the similarity are not posted; a row
@@ -25,7 +25,7 @@ without id is kept and links with nothing; rows that repeat an id count as one d
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from rxframe.llm.components import components
 from rxframe.session import settle
 
 COORDINATES = 64
-MATCH = 40
+MISS = 1e-5
 ROUNDS = 4
 REMEMBERED = 300_000
 #: Shingles of centres that a task remembers.
@@ -115,7 +115,17 @@ def signatures(docs: DataFrame, ident: str = "doc_id", text: str = "text", width
     return docs.select(column(docs, ident, "long").alias("doc_id"), column(docs, text, "string").alias("text")).mapInArrow(sign, SIGNED)
 
 
-def postings(classes: DataFrame, percent: int, coordinates: int = COORDINATES, match: int = MATCH) -> DataFrame:
+def matches(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
+    """The greatest number of equal coordinates that a pair of ``percent`` falls short of with chance ``miss`` or less."""
+    p, below = percent / 100, 0.0
+    for m in range(coordinates + 1):
+        below += comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)
+        if below > miss:
+            return max(1, m)
+    return coordinates
+
+
+def postings(classes: DataFrame, percent: int, coordinates: int = COORDINATES, match: int = 1) -> DataFrame:
     """Prefix postings ``list``, ``id``, ``n`` and ``weight``. ``classes`` has ``id``, ``n`` and ``sig``."""
     # A set of n shingles can only be similar to another of n - 1 or n + 1 if (n - 1) / n is enough.
     least = next(n for n in range(2, 202) if 100 * (n - 1) >= percent * n) - 1 if percent < 100 else 1 << 62
@@ -227,14 +237,14 @@ def near_duplicates(
     width: int = 5,
     percent: int = 80,
     coordinates: int = COORDINATES,
-    match: int = MATCH,
+    miss: float = MISS,
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``."""
     signed = settle(signatures(docs, ident, text, width, coordinates), "signatures")
     full = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = settle(classes, "classes")
-    post = settle(postings(classes, percent, coordinates, match), "postings")
+    post = settle(postings(classes, percent, coordinates, matches(percent, coordinates, miss)), "postings")
     texts = settle(texts_of(docs, post.select("id").distinct(), ident, text), "texts")
     groups = components(links(post, texts, percent, width))
     groups = groups.withColumnRenamed("id", "_id")
