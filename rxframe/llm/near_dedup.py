@@ -11,7 +11,7 @@
    ``min(|x & c|, |y & c|)`` shingles of the centre c and those outside of c that they have in common. If the
    first alone suffices they are compared; if they share outside shingles, these are the posting lists of the next
    round; otherwise they cannot be similar. So nothing is lost and no list is expanded into all its pairs.
-   After ``rounds`` rounds, whatever is still open is compared pair by pair.
+   Once no more pairs are open than there are classes, or after ``rounds`` rounds, they are compared one by one.
 4. Every link is confirmed on full sets; documents get the smallest id of their component.
 
 The only chance involved is a pair at the threshold matching on fewer than ``match`` coordinates; ``match`` is the
@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rxframe.llm import exact_dedup
 from rxframe.llm.common import column
@@ -40,7 +41,7 @@ from rxframe.session import settle
 
 COORDINATES = 64
 MISS = 1e-5
-ROUNDS = 4
+ROUNDS = 6
 REMEMBERED = 300_000
 #: Shingles of centres that a task remembers.
 CENTER_SHINGLES = 1_000_000
@@ -182,52 +183,68 @@ def texts_of(docs: DataFrame, ids: DataFrame, ident: str, text: str) -> DataFram
     return likely.join(ids.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_semi")
 
 
-def links(post: DataFrame, texts: DataFrame, percent: int, width: int, rounds: int = ROUNDS) -> DataFrame:
-    """Confirmed links (``a``, ``b``) that connect everything similar within the lists of ``post``."""
-    total = None
-    for turn in range(rounds + 1):
-        if turn == rounds:
-            other = post.select("x", "y", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = post.select("x", "y", F.col("id").alias("a"), F.col("component").alias("ca")).join(other, ["x", "y"])
-            pairs = pairs.filter("a < b AND ca != cb").select("a", "b")
-        else:
-            centers = post.groupBy("x", "y").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("c"), F.count(F.lit(1)).alias("m"))
-            centers = settle(centers.filter("m > 1").select("x", "y", (-F.col("c.i")).alias("a")), "centers")
-            pairs = post.join(centers, ["x", "y"]).filter("a != id").select("a", F.col("id").alias("b"))
-        checked = settle(check(pairs.distinct(), texts, width), "checked")
-        found = checked.filter(_similar(percent)).select("a", "b")
+def _compared(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """All checked pairs, stored, and the links among them."""
+    checked = settle(check(pairs.distinct(), texts, width), "checked")
+    return checked, checked.filter(_similar(percent)).select("a", "b")
+
+
+def linked(post: DataFrame, texts: DataFrame, percent: int, width: int, few: int, rounds: int = ROUNDS) -> DataFrame:
+    """``id`` and ``component`` of everything linked within the lists of ``post``.
+
+    When no more than ``few`` pairs are open, they are compared directly.
+    """
+    total: DataFrame | None = None
+    for turn in range(rounds):
+        centers = post.groupBy("x", "y").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("c"), F.count(F.lit(1)).alias("m"))
+        centers = settle(centers.filter("m > 1").select(F.col("x").alias("_x"), F.col("y").alias("_y"), (-F.col("c.i")).alias("a")), "centers")
+        stars = post.join(centers, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).filter("a != id")
+        checked, found = _compared(stars.select("a", F.col("id").alias("b")), texts, percent, width)
         total = found if total is None else total.unionByName(found)
-        if turn == rounds:
-            return total
         groups = components(total)
-        of = lambda side: groups.select(F.col("id").alias(f"_{side}"), F.col("component").alias(f"c{side}"))
-        stars = checked.join(of("b"), F.col("b") == F.col("_b"), "left").join(of("a"), F.col("a") == F.col("_a"), "left")
-        stars = stars.select("a", "b", "na", "nb", "shared", "extra", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        mixed = stars.groupBy("a").agg(F.min("cb").alias("low"), F.max("cb").alias("high"), F.min("nb").alias("least")).filter("low != high")
-        mixed = settle(mixed.select(F.col("a").alias("_s"), "least"), "mixed")
-        stars = settle(stars.join(mixed, F.col("a") == F.col("_s")).drop("_s"), "stars")
-        # Outside shingles that two or more members share, in lists that are not one component already.
-        outside = stars.select("a", "b", "nb", "shared", "least", "cb", F.explode("extra").alias("s"))
-        lists = outside.groupBy("a", "s").agg(F.min("cb").alias("low"), F.max("cb").alias("high"), F.count(F.lit(1)).alias("m"))
-        lists = settle(lists.filter("m > 1").select(F.col("a").alias("_a"), F.col("s").alias("_s"), (F.col("low") != F.col("high")).alias("apart")), "lists")
-        common = outside.join(lists, (F.col("a") == F.col("_a")) & (F.col("s") == F.col("_s")))
-        more = settle(common.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.count(F.lit(1)).alias("more")), "more")
-        reach = f"{100 + percent} * (shared + more) >= {percent} * (nb + least)"
-        can = common.filter("apart").drop("_a", "_b", "_s").join(more, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).filter(reach)
-        post = can.select(F.col("a").alias("x"), F.col("s").alias("y"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("more").alias("weight"), F.col("cb").alias("component"))
-        post = settle(post, "postings")
-        # Pairs that what they share with the centre makes similar by itself.
-        inside = stars.filter(f"{100 + percent} * shared >= {percent} * (nb + least)").select("a", "b", "nb", "shared", "cb", (F.expr(_similar(percent))).alias("near"))
-        one, two = inside.filter("NOT near").alias("one"), inside.alias("two")
-        close = one.join(two, F.col("one.a") == F.col("two.a")).filter("one.cb != two.cb").filter(
-            f"{100 + percent} * least(one.shared, two.shared) >= {percent} * (one.nb + two.nb)"
-        )
-        direct = close.select(F.least("one.b", "two.b").alias("a"), F.greatest("one.b", "two.b").alias("b")).distinct()
-        direct = settle(check(direct, texts, width).filter(_similar(percent)).select("a", "b"), "direct")
-        total = total.unionByName(direct)
-        if post.isEmpty():
-            return total
-    return total
+        stars = apart(checked, groups, percent)
+        direct, post, n_open = still_open(stars, percent)
+        if n_open <= few or turn == rounds - 1:
+            other = post.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("id").alias("b"), F.col("component").alias("cb"))
+            rest = post.join(other, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")))
+            direct = direct.unionByName(rest.select(F.col("id").alias("a"), "b"))
+        _, found = _compared(direct, texts, percent, width)
+        total = total.unionByName(found)
+        if n_open <= few:
+            break
+    return groups if found.isEmpty() else components(total)
+
+
+def apart(checked: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Checked pairs of centres whose members are in several components: with component ``cb`` and the ``least`` size."""
+    side = lambda c: groups.select(F.col("id").alias(f"_{c}"), F.col("component").alias(f"c{c}"))
+    stars = checked.join(side("b"), F.col("b") == F.col("_b"), "left").join(side("a"), F.col("a") == F.col("_a"), "left")
+    stars = stars.select("a", "b", "na", "nb", "shared", "extra", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    mixed = stars.groupBy("a").agg(F.min("cb").alias("low"), F.max("cb").alias("high"), F.min("nb").alias("least")).filter("low != high")
+    mixed = settle(mixed.select(F.col("a").alias("_s"), "least"), "mixed")
+    return settle(stars.join(mixed, F.col("a") == F.col("_s")).drop("_s", "ca"), "stars")
+
+
+def still_open(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Pairs to compare, posting lists of outside shingles, and how many pairs these lists hold."""
+    # Outside shingles that members of several components share.
+    outside = stars.select("a", "b", "nb", "shared", "least", "cb", F.explode("extra").alias("s"))
+    lists = outside.groupBy("a", "s").agg(F.min("cb").alias("low"), F.max("cb").alias("high"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    lists = settle(lists.select(F.col("a").alias("_a"), F.col("s").alias("_s"), (F.col("low") != F.col("high")).alias("apart")), "lists")
+    common = outside.join(lists, (F.col("a") == F.col("_a")) & (F.col("s") == F.col("_s")))
+    # A member has no more rows here than it has shingles outside of its centre.
+    more = F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
+    reach = f"apart AND {100 + percent} * (shared + more) >= {percent} * (nb + least)"
+    can = common.withColumn("more", more).filter(reach)
+    post = settle(can.select(F.col("a").alias("x"), F.col("s").alias("y"), F.col("b").alias("id"), F.col("more").alias("weight"), F.col("cb").alias("component")), "postings")
+    n_open = post.groupBy("x", "y").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] or 0
+    # Pairs that what they share with the centre makes similar by itself.
+    inside = stars.filter(f"{100 + percent} * shared >= {percent} * (nb + least)").select("a", "b", "nb", "shared", "cb", F.expr(_similar(percent)).alias("near"))
+    one, two = inside.filter("NOT near").alias("one"), inside.alias("two")
+    close = one.join(two, F.col("one.a") == F.col("two.a")).filter("one.cb != two.cb").filter(
+        f"{100 + percent} * least(one.shared, two.shared) >= {percent} * (one.nb + two.nb)"
+    )
+    return close.select(F.least("one.b", "two.b").alias("a"), F.greatest("one.b", "two.b").alias("b")), post, n_open
 
 
 def near_duplicates(
@@ -246,7 +263,7 @@ def near_duplicates(
     classes = settle(classes, "classes")
     post = settle(postings(classes, percent, coordinates, matches(percent, coordinates, miss)), "postings")
     texts = settle(texts_of(docs, post.select("id").distinct(), ident, text), "texts")
-    groups = components(links(post, texts, percent, width))
+    groups = linked(post, texts, percent, width, few=classes.count())
     groups = groups.withColumnRenamed("id", "_id")
     ids = classes.select(F.col("digest").alias("_digest"), "id").join(groups, F.col("id") == F.col("_id"), "left")
     ids = settle(ids.select("_digest", F.coalesce("component", "id").alias("component_id")), "members")
