@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,11 @@ from rxframe.session import settle
 CAPACITY = 4096
 END = 1
 ROWS_PER_PART = 20_000
-#: Words whose ids a task remembers, and characters of a text that are split at once.
-REMEMBERED = 300_000
-SLICE = 1 << 20
+#: Parts whose ids a task remembers from one batch to the next.
+REMEMBERED = 400_000
+#: Fixed values of the tokenizer file: its parts of a lower-cased word. Words of other letters go to it whole.
+PARTS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[^\W_]|(?:[^\w\s]|_)+")
+SIMPLE = r"^[\x21-\x7e\x{bf}-\x{12f}\x{131}-\x{24f}]*$"
 
 _tokenizers: dict = {}
 
@@ -46,41 +49,74 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` one after another."""
+    ends = np.cumsum(lengths)
+    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
-    """Ids of whole texts, word by word: this tokenizer drops white space and never joins across it."""
+    """Ids of whole texts.
+
+    This tokenizer drops white space and never joins across it, so a text is the ids of its words one after another,
+    and a word of common letters is that of its parts. A batch looks each distinct word up once and splits the
+    distinct words at once; ids of parts are remembered up to a bound, and new parts reach the tokenizer together.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def _slices(self, text: str) -> Iterator[str]:
-        start = 0
-        while len(text) - start > SLICE:
-            cut = text.find(" ", start + SLICE)
-            if cut < 0:
-                break
-            yield text[start:cut]
-            start = cut
-        yield text[start:]
-
-    def ids(self, text: str) -> np.ndarray:
-        parts = []
-        for piece in self._slices(text):
-            words = piece.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            known = self.known
-            new = [w for w in set(words) if w not in known]
-            if len(known) + len(new) > REMEMBERED:
-                # Words met first are the frequent ones.
-                known = self.known = dict(itertools.islice(known.items(), REMEMBERED // 2))
-                new = [w for w in set(words) if w not in known]
-            if new:
-                found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-                known.update(zip(new, (e.ids for e in found), strict=True))
-            parts.append(np.fromiter(itertools.chain.from_iterable(map(self.known.__getitem__, words)), "<u4"))
-        return np.concatenate(parts)
+        self.parts: dict[str, bytes] = {}
+
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """One call for all new parts: a blank ends a part, and the tokenizer says which part an id is of."""
+        new = [p for p in parts if p not in self.parts]
+        if new:
+            encoded = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            ids, of = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids)
+            cuts = np.searchsorted(of, np.arange(len(new) + 1))
+            self.parts.update((p, ids[i:j].tobytes()) for p, i, j in zip(new, cuts[:-1], cuts[1:], strict=True))
+        found = [self.parts[p] for p in parts]
+        if len(self.parts) > REMEMBERED:
+            # Parts met first are the frequent ones.
+            self.parts = dict(itertools.islice(self.parts.items(), REMEMBERED // 2))
+        return found
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of common letters, one after another, and the number of each."""
+        coded = pa.array(PARTS.findall("\n".join([*words, ""]).lower())).dictionary_encode()
+        parts, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ends = np.flatnonzero(code == parts.index("\n"))
+        found = self._learn([p for p in parts if p != "\n"])
+        found.insert(parts.index("\n"), b"")
+        lengths = np.fromiter(map(len, found), "i8", len(found)) // 4
+        ids = _gather(np.frombuffer(b"".join(found), "<u4"), (np.cumsum(lengths) - lengths)[code], lengths[code])
+        return ids, np.diff(np.r_[0, np.cumsum(lengths[code])[ends]])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of an Arrow batch, which is bounded in bytes."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = words.flatten().dictionary_encode()
+        distinct, code = coded.dictionary, coded.indices.to_numpy()
+        plain = pc.and_(pc.match_substring_regex(distinct, SIMPLE), pc.invert(pc.match_substring(distinct, "<|")))
+        lengths, pools = np.zeros(len(distinct), "i8"), []
+        mask = plain.to_numpy(zero_copy_only=False)
+        if mask.any():
+            ids, lengths[mask] = self._plain(distinct.filter(plain).to_pylist())
+            pools.append(ids)
+        if not mask.all():
+            found = self.tokenizer.encode_batch(distinct.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)
+            lengths[~mask] = [len(e.ids) for e in found]
+            pools.append(np.array(list(itertools.chain.from_iterable(e.ids for e in found)), "<u4"))
+        # Plain words stand first in the pool.
+        order = np.r_[np.flatnonzero(mask), np.flatnonzero(~mask)]
+        starts = np.empty(len(distinct), "i8")
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        ids = _gather(np.concatenate(pools) if pools else np.array([], "<u4"), starts[code], lengths[code])
+        cuts = np.r_[0, np.cumsum(lengths[code])][words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -101,11 +137,11 @@ def pieces(
     path = tokenizer or default_tokenizer()
 
     def cut(batches):
-        encode = encoder(path).ids
+        encode = encoder(path).encode
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(body or ""), np.uint32(END)).astype("<u4")
+            for name, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for number, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     row = (name, number, start, len(part), zlib.crc32(part.tobytes()), part if with_ids else None)
