@@ -13,7 +13,6 @@ from rxframe.sources import catalogue
 
 SPELLING = {"blue": "red", "cold": "hot"}
 IGNORED = ["gear"]
-LINES_PER_CAPTURE = 64
 LINE_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate",
     "l_returnflag",
@@ -40,40 +39,16 @@ def _short_name() -> Column:
 
 
 def rx_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct line items as prescription lines: rx_id, position, name and the source columns.
-
-    An order with more than 64 lines is spread over pages by a hash, so no prescription is large.
-    """
-    items = table(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER).distinct()
-    pages = items.groupBy("l_orderkey").agg(
-        F.ceil(F.count(F.lit(1)) / LINES_PER_CAPTURE).alias("pages")
-    )
-    digest = F.md5(
-        F.concat_ws(
-            "|",
-            _text("l_linenumber"),
-            _text("l_partkey"),
-            _text("l_suppkey"),
-            _text(F.col("l_quantity").cast("bigint")),
-            _text(F.round(F.col("l_extendedprice") * 100).cast("bigint")),
-            F.date_format("l_shipdate", "yyyy-MM-dd"),
-        )
-    )
-    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    paged = (
-        items.join(pages, "l_orderkey")
-        .withColumn("page", F.pmod(draw, F.col("pages")))
-        .repartition("l_orderkey", "page")
-    )
-    order = Window.partitionBy("l_orderkey", "page").orderBy(*LINE_ORDER)
+    """Line items as prescription lines: rx_id, position, name and the source columns."""
+    items = table(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER)
+    order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     part = table(spark, d, "part").select(
         F.col("p_partkey").alias("l_partkey"), _short_name().alias("name")
     )
     return (
-        paged.withColumn("position", F.row_number().over(order) - 1)
+        items.withColumn("position", F.row_number().over(order) - 1)
         .join(part, "l_partkey")
-        .withColumn("rx_id", F.concat(_text("l_orderkey"), F.lit("/"), _text("page")))
-        .drop("pages")
+        .withColumn("rx_id", _text("l_orderkey"))
     )
 
 
@@ -119,15 +94,15 @@ def _medicine() -> Column:
 
 
 def captures(spark: SparkSession, d: str) -> DataFrame:
-    """Bronze rows: one JSON document per order page, some broken on purpose."""
-    pages = (
+    """Bronze rows: one JSON document per order, some broken on purpose."""
+    items = (
         rx_lines(spark, d)
-        .select("l_orderkey", "page", F.struct("position", _medicine().alias("m")).alias("item"))
-        .groupBy("l_orderkey", "page")
+        .select("l_orderkey", F.struct("position", _medicine().alias("m")).alias("item"))
+        .groupBy("l_orderkey")
         .agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    joined = orders.join(pages, orders.o_orderkey == pages.l_orderkey, "left")
+    joined = orders.join(items, orders.o_orderkey == items.l_orderkey, "left")
     document = F.to_json(
         F.struct(
             F.lit(True).alias("is_prescription"),
@@ -138,9 +113,7 @@ def captures(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("o_orderkey") % 50
     return joined.select(
         F.concat(F.lit("run_"), F.date_format("o_orderdate", "yyyyMM")).alias("pipeline_run_id"),
-        F.sha2(
-            F.concat(_text("o_orderkey"), F.lit("/"), _text(F.coalesce("page", F.lit(0)))), 256
-        ).alias("source_file_hash"),
+        F.sha2(_text("o_orderkey"), 256).alias("source_file_hash"),
         F.when(kind == 0, F.substring(document, 1, 20))
         .when(kind == 1, "[1]")
         .when(kind == 2, "{}")
@@ -279,7 +252,7 @@ def baskets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """Look-up lines, one request per order page."""
+    """Look-up lines, one request per order."""
     m = _medicine()
     return rx_lines(spark, d).select(
         "rx_id",

@@ -37,31 +37,18 @@ LINE_ORDER = (
     "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag"
 )
 
-part("items", sql=f"SELECT DISTINCT l_orderkey, {LINE_ORDER} FROM lineitem")
-part(
-    "paged",
-    "items",
-    sql="""SELECT *, ('0x' || substr(md5(concat_ws('|', l_linenumber, l_partkey, l_suppkey,
-      l_quantity::BIGINT, round(l_extendedprice * 100)::BIGINT, strftime(l_shipdate, '%Y-%m-%d'))),
-      1, 8))::BIGINT % ceil(count(*) OVER (PARTITION BY l_orderkey) / 64.0)::BIGINT AS page
-      FROM items""",
-)
 part(
     "rx",
-    "paged",
-    sql=f"""SELECT paged.*, row_number() OVER (PARTITION BY l_orderkey, page ORDER BY {LINE_ORDER})
-      - 1 AS position, l_orderkey || '/' || page AS rx_id, p_name || ' ' || p_size AS name
-      FROM paged JOIN part ON p_partkey = l_partkey""",
+    sql=f"""SELECT lineitem.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS position,
+      l_orderkey::VARCHAR AS rx_id, p_name || ' ' || p_size AS name
+      FROM lineitem JOIN part ON p_partkey = l_partkey""",
 )
 part(
     "captures",
-    "paged",
-    sql="""SELECT o_orderkey, o_orderdate, coalesce(page, 0) AS page,
-      sha256(o_orderkey || '/' || coalesce(page, 0)) AS hash,
+    sql="""SELECT o_orderkey, o_orderdate, sha256(o_orderkey::VARCHAR) AS hash,
       'run_' || strftime(o_orderdate, '%Y%m') AS pipeline_run_id,
       strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS ingest_date
-      FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, page FROM paged) p
-      ON p.l_orderkey = o_orderkey""",
+      FROM orders""",
 )
 part(
     "parsed",
@@ -89,7 +76,7 @@ part(
         CASE WHEN l_linenumber = 7 THEN 0.5 WHEN l_returnflag = 'A' THEN 0.95
           WHEN l_returnflag = 'N' THEN 0.7 ELSE 0.4 END::DOUBLE,
         pipeline_run_id, ingest_date, NULL
-      FROM captures JOIN rx ON l_orderkey = o_orderkey AND rx.page = captures.page
+      FROM captures JOIN rx ON l_orderkey = o_orderkey
       WHERE o_orderkey % 50 NOT IN (0, 1, 2)""",
 )
 part(
@@ -552,17 +539,19 @@ oracle(
     "interaction_pairs",
     "baskets",
     "rules",
-    sql=f"""SELECT rx_id, brand_a, brand_b, rule_pos, severity, effect, min(pos_a) AS pos_a FROM (
+    sql=f"""SELECT *, row_number() OVER (PARTITION BY rx_id ORDER BY severity <> 'major', pos_a, pos_b, rule_pos,
+        effect, brand_a, brand_b) AS warning_rank FROM (
+      SELECT rx_id, brand_a, brand_b, rule_pos, severity, effect, min(pos_a) AS pos_a, min(pos_b) AS pos_b FROM (
         SELECT a.rx_id, a.brand AS brand_a, b.brand AS brand_b, rule_pos, severity, effect,
-          a.position AS pos_a
+          a.position AS pos_a, b.position AS pos_b
         FROM baskets a JOIN baskets b ON a.rx_id = b.rx_id AND a.position < b.position
         JOIN rules ON {PAIR_RULES.format(b='b.salt_keys')}
         UNION ALL
-        SELECT rx_id, brand_a, brand_b, -1, 'moderate', {DUPLICATE}, pos_a FROM (
-          SELECT a.rx_id, a.brand AS brand_a, b.brand AS brand_b, a.position AS pos_a,
+        SELECT rx_id, brand_a, brand_b, -1, 'moderate', {DUPLICATE}, pos_a, pos_b FROM (
+          SELECT a.rx_id, a.brand AS brand_a, b.brand AS brand_b, a.position AS pos_a, b.position AS pos_b,
             unnest(list_filter(list_intersect(a.salt_keys, b.salt_keys), lambda x: x <> 'gear')) AS s
           FROM baskets a JOIN baskets b ON a.rx_id = b.rx_id AND a.position < b.position))
-      GROUP BY ALL""",
+      GROUP BY ALL)""",
 )
 oracle(
     "cross_interactions",

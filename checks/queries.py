@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import fixtures as X
@@ -483,7 +484,11 @@ def medicine_detail(spark, d):
 @query
 def interaction_pairs(spark, d):
     found = safety.interactions(X.baskets(spark, d), X.rules(spark, d), ignored=X.IGNORED)
-    return found.select("rx_id", "brand_a", "brand_b", "rule_pos", "severity", "effect", "pos_a")
+    order = safety.display_order(F.col("effect"), F.col("brand_a"), F.col("brand_b"))
+    rank = F.row_number().over(Window.partitionBy("rx_id").orderBy(*order))
+    return found.select(
+        "rx_id", "brand_a", "brand_b", "rule_pos", "severity", "effect", "pos_a", "pos_b", rank.alias("warning_rank")
+    )
 
 
 @query

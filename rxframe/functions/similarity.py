@@ -35,7 +35,7 @@ class Texts:
         return self._masks
 
     def histogram(self) -> np.ndarray:
-        out = np.zeros((self.n, len(self.alphabet) + 1), dtype=np.uint16)
+        out = np.zeros((self.n, len(self.alphabet) + 1), dtype=np.uint32)
         rows = np.arange(self.n)
         for j in range(self.codes.shape[1]):
             np.add.at(out, (rows, self.codes[:, j]), 1)
@@ -183,7 +183,7 @@ def shared_words(a: Words, b: Words) -> tuple[np.ndarray, np.ndarray]:
         for i, s in enumerate(words.sets):
             for w in s:
                 rows.setdefault(w, []).append(i)
-    count = np.zeros((len(a.sets), len(b.sets)), dtype=np.int16)
+    count = np.zeros((len(a.sets), len(b.sets)), dtype=np.int64)
     letters = np.zeros_like(count)
     for w in rows_a.keys() & rows_b.keys():
         cell = np.ix_(rows_a[w], rows_b[w])
@@ -316,75 +316,9 @@ class WeightedRatio:
         return out
 
 
-class EditSimilarity:
-    """100 x (1 - edit distance / longer length)."""
-
-    def __init__(self, queries: list[str], candidates: list[str]):
-        alphabet = alphabet_of(queries, candidates)
-        self.q, self.c = Texts(queries, alphabet), Texts(candidates, alphabet)
-
-    def bound(self) -> np.ndarray:
-        longer = np.maximum(self.q.length[:, None], self.c.length[None, :])
-        bag = _shared_letters(self.q, self.c)
-        out = 100.0 * np.minimum(bag, longer) / np.maximum(longer, 1) + 1e-3
-        return np.where(longer == 0, 0.0, out).astype(np.float32)
-
-    def score(self, i: np.ndarray, k: np.ndarray, floor: np.ndarray | None = None) -> np.ndarray:
-        lq, lc = self.q.length[i], self.c.length[k]
-        distance = np.zeros(len(i), dtype=np.int64)
-        short_q = lq <= lc
-        fits = np.minimum(lq, lc) <= WORD
-        for left, il, right, ir, pick in (
-            (self.q, i, self.c, k, short_q & fits),
-            (self.c, k, self.q, i, ~short_q & fits),
-        ):
-            where = np.flatnonzero(pick)
-            for s in range(0, len(where), SLICE):
-                w = where[s : s + SLICE]
-                distance[w] = _edit_words(left, il[w], right, ir[w])
-        for w in np.flatnonzero(~fits):
-            distance[w] = _edit_long(self.q.texts[i[w]], self.c.texts[k[w]])
-        longer = np.maximum(lq, lc)
-        return np.where(longer == 0, 0.0, (longer - distance) * 100.0 / np.maximum(longer, 1))
-
-
-def _edit_words(pattern: Texts, ip, text: Texts, it) -> np.ndarray:
-    masks = pattern.masks()
-    m, n = pattern.length[ip].astype(np.int64), text.length[it]
-    one, ones = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
-    up = np.full(len(ip), ones)
-    down = np.zeros(len(ip), dtype=np.uint64)
-    distance = m.copy()
-    top = one << np.maximum(m - 1, 0).astype(np.uint64)
-    for j in range(int(n.max(initial=0))):
-        live = j < n
-        hit = masks[ip, text.codes[it, j]]
-        vertical = hit | down
-        across = (((hit & up) + up) ^ up) | hit
-        more = down | ~(across | up)
-        less = up & across
-        change = ((more & top) != 0).astype(np.int64) - ((less & top) != 0).astype(np.int64)
-        distance += np.where(live, change, 0)
-        more = (more << one) | one
-        less = less << one
-        up = less | ~(vertical | more)
-        down = more & vertical
-    return np.where(m == 0, n, distance)
-
-
-def _edit_long(a: str, b: str) -> int:
-    previous = np.arange(len(b) + 1)
-    letters = np.array([ord(x) for x in b])
-    steps = np.arange(len(b) + 1)
-    for r, x in enumerate(a, 1):
-        row = np.concatenate([[r], np.minimum(previous[1:] + 1, previous[:-1] + (letters != ord(x)))])
-        previous = np.minimum.accumulate(row - steps) + steps
-    return int(previous[-1])
-
-
 def _shared_letters(a: Texts, b: Texts) -> np.ndarray:
     ha, hb = a.histogram(), b.histogram()
-    out = np.zeros((a.n, b.n), dtype=np.uint16)
+    out = np.zeros((a.n, b.n), dtype=np.uint32)
     for letter in range(ha.shape[1]):
         x, y = ha[:, letter], hb[:, letter]
         rows, cols = np.flatnonzero(x), np.flatnonzero(y)
@@ -393,7 +327,7 @@ def _shared_letters(a: Texts, b: Texts) -> np.ndarray:
     return out
 
 
-SCORERS = {"weighted": WeightedRatio, "edit": EditSimilarity}
+SCORERS = {"weighted": WeightedRatio}
 
 
 def best_candidates(

@@ -32,6 +32,23 @@ def _scorer(scorer: str, whole: bool, cutoff: float):
     return score
 
 
+def _edit(cutoff: float, whole: bool) -> Column:
+    """The same by Spark's own edit distance: 100 x (1 - distance / longer length), for each query of the chunk."""
+
+    def best(q):
+        def rank(c):
+            longer = F.greatest(F.length(q), F.length(c["text"]))
+            score = F.when(longer > 0, (longer - F.levenshtein(q, c["text"])) * F.lit(100.0) / longer).otherwise(0.0)
+            score = F.floor(score).cast("double") if whole else score
+            gap = F.abs(F.length(q) - F.length(c["text"])) if whole else F.lit(0)
+            return F.struct((-score).alias("rank"), gap.alias("gap"), c.alias("item"))
+
+        found = F.array_min(F.transform("c_items", rank))
+        return F.struct(q.alias("text"), found["item"].alias("item"), (-found["rank"]).alias("score"))
+
+    return F.filter(F.transform("q_texts", best), lambda w: w["score"] >= cutoff)
+
+
 def _chunks(counts: Column, size: int) -> Column:
     return F.ceil(counts / size).cast("int")
 
@@ -94,26 +111,22 @@ def best_per_query(
         )
         .repartition(tasks, "block", "c_chunk", "salt")
     )
-    found = left.join(right, ["block", "c_chunk", "salt"]).select(
-        "q_texts",
-        "c_items",
-        _scorer(scorer, whole, cutoff)("q_texts", F.col("c_items.text")).alias("found"),
-    )
-    winners = found.select(
-        F.explode(
-            F.filter(
-                F.transform(
-                    F.arrays_zip("q_texts", "found.idx", "found.score"),
-                    lambda z: F.struct(
-                        z["q_texts"].alias("text"),
-                        F.get("c_items", z["idx"]).alias("item"),
-                        z["score"].alias("score"),
-                    ),
-                ),
-                lambda w: w["item"].isNotNull(),
-            )
-        ).alias("w")
-    ).select("w.text", "w.item", "w.score")
+    met = left.join(right, ["block", "c_chunk", "salt"])
+    if scorer == "edit":
+        each = met.select(F.explode(_edit(cutoff, whole)).alias("w"))
+    else:
+        scored = _scorer(scorer, whole, cutoff)("q_texts", F.col("c_items.text"))
+        rows = F.transform(
+            F.arrays_zip("q_texts", "found.idx", "found.score"),
+            lambda z: F.struct(
+                z["q_texts"].alias("text"),
+                F.get("c_items", z["idx"]).alias("item"),
+                z["score"].alias("score"),
+            ),
+        )
+        found = met.select("q_texts", "c_items", scored.alias("found"))
+        each = found.select(F.explode(F.filter(rows, lambda w: w["item"].isNotNull())).alias("w"))
+    winners = each.select("w.text", "w.item", "w.score")
     gap = F.abs(F.length("text") - F.length("item.text")) if whole else F.lit(0)
     best = winners.groupBy("text").agg(
         F.min(F.struct((-F.col("score")).alias("rank"), gap.alias("gap"), "item")).alias("best")

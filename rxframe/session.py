@@ -60,10 +60,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """A new folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a machine-local folder.
+    Only a local session that names none gets a machine-local folder; on a cluster executors would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="rxframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/rxframe-{uuid.uuid4().hex}"

@@ -11,7 +11,6 @@ from rxframe import schemas
 from rxframe.sinks import upsert as U
 
 LINE_KEYS = ["source_file_hash", "line_id"]
-MATCH_KEYS = ["line_id"]
 LAYOUTS = {
     "silver": schemas.SILVER,
     "quarantine": schemas.SILVER,
@@ -65,10 +64,8 @@ class Layers:
     # --- writes ---------------------------------------------------------------
 
     def append_bronze(self, captures: DataFrame) -> int:
-        """Append captures by date and return how many; no rows, no files."""
+        """Append captures by date and return how many; the rows are computed once."""
         seen = Observation("bronze")
-        if not captures.take(1):
-            return 0
         (
             captures.observe(seen, F.count(F.lit(1)).alias("rows"))
             .hint("rebalance", "ingest_date")
@@ -87,7 +84,7 @@ class Layers:
 
     def upsert_gold(self, matched: DataFrame) -> None:
         order = latest("matched_at", columns=matched.columns)
-        U.upsert(matched, self.gold, MATCH_KEYS, order, self.buckets)
+        U.upsert(matched, self.gold, LINE_KEYS, order, self.buckets)
 
     def append_metrics(self, metrics: DataFrame) -> None:
         metrics.write.mode("append").parquet(self.metrics)
@@ -95,7 +92,7 @@ class Layers:
     def publish(self, matched: DataFrame) -> None:
         """Insert or replace matched lines in the serving copy."""
         order = latest("matched_at", columns=matched.columns)
-        U.upsert(matched, self.serving, MATCH_KEYS, order, self.buckets)
+        U.upsert(matched, self.serving, LINE_KEYS, order, self.buckets)
 
     def mirror_metrics(self, metrics: DataFrame) -> None:
         """Replace the run's row in the serving copy, maps as JSON text."""
@@ -113,6 +110,8 @@ class Layers:
         last_date: str | None = None,
     ) -> DataFrame:
         """Captures of a run and/or a date range; the range prunes folders."""
+        if not U.exists(spark, self.bronze):
+            return spark.createDataFrame([], schemas.BRONZE)
         rows = spark.read.schema(schemas.BRONZE).parquet(self.bronze)
         if first_date:
             rows = rows.filter(F.col("ingest_date") >= F.lit(first_date).cast("date"))
@@ -125,15 +124,23 @@ class Layers:
         return rows.filter(F.col("pipeline_run_id") == run_id) if run_id else rows
 
     def register(self, spark: SparkSession, database: str = "default") -> None:
-        """Make every written layer an external table."""
+        """Make every written layer readable by name: appended layers as external tables, upserted ones as views.
+
+        A view shows the version at the time of the call, so call again after an upsert.
+        """
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
         for name in ("bronze", "silver", "quarantine", "gold", "metrics", "serving"):
             path = getattr(self, name)
             if U.exists(spark, path):
+                folders = U.folders(spark, path)
+                if folders:
+                    parts = " UNION ALL ".join(f"SELECT * FROM parquet.`{p}`" for p in folders)
+                    spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS {parts}")
+                    continue
                 spark.sql(
                     f"CREATE TABLE IF NOT EXISTS {database}.{name} USING parquet LOCATION '{path}'"
                 )
-                if name != "quarantine" and name != "metrics":
+                if name == "bronze":
                     spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import StructType
+
+from rxframe.session import settle
 
 BUCKET = "key_bucket"
+POINTERS = "pointers"
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -27,19 +32,57 @@ def merge(target: DataFrame, updates: DataFrame, keys: list[str], order: list[Co
     return target.join(winners.select(*keys), keys, "left_anti").unionByName(winners)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+    fs, target = _hadoop(spark, path)
+    return fs.exists(target)
+
+
+@dataclass(frozen=True)
+class Version:
+    """What a pointer file says: number, bucket count, columns, and the folder that holds each bucket."""
+
+    number: int
+    buckets: int
+    schema: str
+    holders: dict[int, str]
+
+
+def current(spark: SparkSession, path: str) -> Version | None:
+    """The version of the last pointer of a table, or None."""
+    fs, target = _hadoop(spark, f"{path}/{POINTERS}")
+    if not fs.exists(target):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(target)]
+    done = sorted(n for n in names if n.endswith(".json"))
+    if not done:
+        return None
+    text = spark.read.text(f"{path}/{POINTERS}/{done[-1]}", wholetext=True).first()[0]
+    found = json.loads(text)
+    return Version(int(done[-1][:-5]), found["buckets"], found["schema"], {int(k): v for k, v in found["holders"].items()})
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders a reader of the current version opens."""
+    version = current(spark, path)
+    held = version.holders if version else {}
+    return [f"{path}/data/{folder}/{BUCKET}={bucket}" for bucket, folder in sorted(held.items())]
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """The table without its bucket column; with a ``schema``, a missing table is empty."""
+    """The current version of an upserted table, or an appended one; with a ``schema``, a missing table is empty."""
+    version = current(spark, path)
+    if version:
+        kind = StructType.fromJson(json.loads(version.schema))
+        paths = folders(spark, path)
+        return spark.read.schema(kind).parquet(*paths) if paths else spark.createDataFrame([], kind)
     if schema and not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(path).drop(BUCKET)
+    return spark.read.parquet(path)
 
 
 def upsert(
@@ -51,38 +94,66 @@ def upsert(
 ) -> None:
     """Update-all / insert-all on ``keys`` into a parquet table.
 
-    The table is laid out by a hash of the key, and only the buckets that hold an updated key are
-    read and replaced. The merged buckets are written beside the table first and copied in from
-    there, so a lost job leaves either the old or the new rows complete and can be run again.
+    The table is laid out by a hash of the key. Buckets that hold an updated key are merged into a new folder,
+    others keep the folder they are in; a small pointer file, which names the folder of every bucket, is renamed into
+    place last. A job lost before that leaves the old version untouched, and a second writer of the same version
+    fails at the rename. Folders that neither the new nor the previous version uses are removed afterwards. The bucket
+    count is part of the version: another count writes the whole table anew.
     """
     spark = updates.sparkSession
+    path = path.rstrip("/")
+    old = current(spark, path)
+    fresh = uuid.uuid4().hex
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    winners = last_wins(updates, keys, order).withColumn(BUCKET, bucket)
-    staging = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
-    if exists(spark, path):
-        # Winners are written once: the merge below reads them twice.
-        _write(winners, f"{staging}/updates")
-        winners = spark.read.schema(winners.schema).parquet(f"{staging}/updates")
+    winners = last_wins(updates, keys, order)
+    held: dict[int, str] = {}
+    if old and old.buckets == buckets:
+        # Winners are stored once: their buckets are wanted first, then their rows.
+        winners = settle(winners.withColumn(BUCKET, bucket), "winners").drop(BUCKET)
         # At most ``buckets`` numbers come back.
-        touched = [r[0] for r in winners.select(BUCKET).distinct().collect()]
+        touched = {r[0] for r in winners.select(bucket).distinct().collect()}
         if not touched:
             return
-        target = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched))
-        kept = target.join(winners.select(*keys), keys, "left_anti")
-        _write(kept.unionByName(winners), f"{staging}/merged")
-        _write(spark.read.schema(winners.schema).parquet(f"{staging}/merged"), path)
+        held = {b: f for b, f in old.holders.items() if b not in touched}
+        paths = [f"{path}/data/{f}/{BUCKET}={b}" for b, f in old.holders.items() if b in touched]
+        kind = StructType.fromJson(json.loads(old.schema))
+        kept = spark.read.schema(kind).parquet(*paths) if paths else spark.createDataFrame([], kind)
+        rows = kept.join(winners.select(*keys), keys, "left_anti").select(*winners.columns).unionByName(winners)
+    elif old:
+        rows = merge(read_table(spark, path), updates, keys, order)
     else:
-        _write(winners, path)
-
-
-def _write(rows: DataFrame, path: str) -> None:
-    (
-        rows.hint("rebalance", BUCKET)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET)
-        .parquet(path)
-    )
+        rows = winners
+    rows.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/data/{fresh}")
+    fs, target = _hadoop(spark, f"{path}/data/{fresh}")
+    names = [f.getPath().getName() for f in fs.listStatus(target)]
+    held |= {int(n.split("=")[1]): fresh for n in names if n.startswith(f"{BUCKET}=")}
+    _point(spark, path, Version(old.number + 1 if old else 0, buckets, updates.schema.json(), held))
+    _clean(spark, path, held, old)
+
+
+def _point(spark: SparkSession, path: str, version: Version) -> None:
+    jvm = spark._jvm
+    fs, folder = _hadoop(spark, f"{path}/{POINTERS}")
+    fs.mkdirs(folder)
+    text = json.dumps({"buckets": version.buckets, "schema": version.schema, "holders": version.holders})
+    draft = jvm.org.apache.hadoop.fs.Path(folder, f"_{uuid.uuid4().hex}")
+    final = jvm.org.apache.hadoop.fs.Path(folder, f"{version.number:012d}.json")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        raise RuntimeError(f"another upsert wrote version {version.number} of {path}")
+
+
+def _clean(spark: SparkSession, path: str, held: dict[int, str], old: Version | None) -> None:
+    """Remove what neither this version nor the one before, which readers may still be at, uses."""
+    used = {*held.values(), *(old.holders.values() if old else [])}
+    fs, target = _hadoop(spark, f"{path}/data")
+    for f in fs.listStatus(target):
+        if f.getPath().getName() not in used:
+            fs.delete(f.getPath(), True)
 
 
 def merge_into_table(

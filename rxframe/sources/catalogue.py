@@ -11,7 +11,7 @@ from rxframe.functions import composition, text
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue file with the columns of the published product lists, everything as text."""
-    raw = spark.read.csv(path, header=True, multiLine=False)
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
     return raw.select(
         F.monotonically_increasing_id().alias("pos"),
         F.col("name"),

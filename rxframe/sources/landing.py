@@ -20,14 +20,50 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
+def _pattern(extensions: list[str]) -> str:
+    """A glob for the extensions in any case."""
+    names = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+    return "*{" + ",".join(names) + "}"
+
+
+def _hidden(spark: SparkSession, folder: str, pattern: str) -> list[tuple]:
+    """Paths, times and lengths of files that Spark's readers skip by name; contents are read in tasks."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/[._]{pattern}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [(f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in found if f.isFile()]
+
+
+def _contents(batches):
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        data = []
+        for uri in batch.column("path").to_pylist():
+            store, path = fs.FileSystem.from_uri(uri)
+            with store.open_input_stream(path) as stream:
+                data.append(stream.read())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, "content"])
+
+
 def scan(
     spark: SparkSession, folder: str, extensions: list[str] | None = None
 ) -> DataFrame:
-    """Files of a folder with an accepted extension in any case; a missing folder is empty."""
+    """Files of a folder with an accepted extension in any case; a missing folder is empty.
+
+    The extension is a filter on the listing, so other files are not opened. Names that begin with a dot or an
+    underscore are files like others.
+    """
     if not _exists(spark, folder):
         return spark.createDataFrame([], FILE_SCHEMA)
-    files = spark.read.format("binaryFile").load(folder)
-    return files.filter(extension(F.col("path")).isin(extensions or list(K.IMAGE_TYPES)))
+    pattern = _pattern(extensions or list(K.IMAGE_TYPES))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    hidden = _hidden(spark, folder, pattern)
+    if not hidden:
+        return files
+    rows = spark.createDataFrame(hidden, "path string, at long, length long")
+    rows = rows.select("path", F.timestamp_millis("at").alias("modificationTime"), "length")
+    return files.unionByName(rows.mapInArrow(_contents, FILE_SCHEMA))
 
 
 def lineage(files: DataFrame, run_id: str, ingested_at: Column | None = None) -> DataFrame:

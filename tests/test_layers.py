@@ -50,11 +50,43 @@ def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
 
     before = files()
     U.upsert(spark.createDataFrame([(5, 1, "y")], ROW), path, ["k"], newest(), 8)
-    assert len(files() - before) == 1 and len(before - files()) == 1
+    assert len(files() - before) == 1 and not before - files()  # the version before stays readable
     assert U.read_table(spark, path).count() == 200
     assert U.read_table(spark, path).filter("k = 5").first()["v"] == "y"
 
 
+def test_upsert_lost_half_way(spark, tmp_path, monkeypatch):
+    """A job that stops before the pointer is written leaves the old rows, and running it again gives the new ones."""
+    path = str(tmp_path / "t")
+    U.upsert(spark.range(100).selectExpr("id AS k", "0L AS at", "'x' AS v"), path, ["k"], newest(), 4)
+    more = spark.range(50, 150).selectExpr("id AS k", "1L AS at", "'y' AS v")
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(U, "_point", stop)
+        with pytest.raises(KeyboardInterrupt):
+            U.upsert(more, path, ["k"], newest(), 4)
+    assert U.read_table(spark, path).filter("v = 'x'").count() == U.read_table(spark, path).count() == 100
+    U.upsert(more, path, ["k"], newest(), 4)
+    assert U.read_table(spark, path).groupBy("v").count().orderBy("v").collect() == [("x", 50), ("y", 100)]
+    version = U.current(spark, path)
+    with pytest.raises(RuntimeError):
+        U._point(spark, path, version)
+
+
+def test_another_bucket_count_keeps_keys_apart(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(100).selectExpr("id AS k", "0L AS at", "'x' AS v")
+    for buckets in (8, 64, 3):
+        U.upsert(rows, path, ["k"], newest(), buckets)
+        assert U.read_table(spark, path).count() == 100 and U.current(spark, path).buckets == buckets
+    for _ in range(3):
+        U.upsert(rows, path, ["k"], newest(), 3)
+    assert len(os.listdir(f"{path}/data")) == 2  # older copies are gone
+
+
 def test_last_wins_limits_before_the_shuffle(spark, plan):
     rows = spark.range(100).selectExpr("id % 3 AS k", "id AS at", "'x' AS v")
     assert "WindowGroupLimit" in plan(U.last_wins(rows, ["k"], newest()))
@@ -67,7 +99,7 @@ def test_bronze_by_run_and_date(spark, tmp_path, plan):
         "pipeline_run_id string, source_file_hash string, raw_response string, model_name string, model_provider string, "
         "prompt_version string, ingested_at timestamp, ingest_date string",
     ).withColumn("ingest_date", F.to_date("ingest_date"))
-    assert layers.append_bronze(rows.limit(0)) == 0 and not os.path.exists(layers.bronze)
+    assert layers.append_bronze(rows.limit(0)) == 0 and layers.read_bronze(spark).count() == 0
     assert layers.append_bronze(rows) == 2
     assert layers.append_bronze(rows.filter("pipeline_run_id = 'r1'")) == 1
     assert layers.read_bronze(spark, "r1").count() == 2
@@ -172,6 +204,13 @@ def test_landing_files(spark, tmp_path):
     assert go() == 4
 
 
+def test_landing_takes_every_name(spark, tmp_path):
+    for name in ("_b.png", ".c.PNG", "d e.png", "_x.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    rows = landing.lineage(landing.scan(spark, str(tmp_path)), "r").collect()
+    assert sorted(r["size_bytes"] for r in rows) == [6, 6, 7] and len({r["source_file_hash"] for r in rows}) == 3
+
+
 def test_catalogue_file(spark, tmp_path):
     text = (
         "id,name,price(₹),Is_discontinued,type,pack_size_label,short_composition1,short_composition2\n"
@@ -181,18 +220,20 @@ def test_catalogue_file(spark, tmp_path):
         "4,Odd,N/A,FALSE,x,p,A (1mg),\n"
         "5,None,5,FALSE,x,p,,\n"
         '6,"Moxclav, 625",100,FALSE,x,p,Clavulanic Acid (125mg),Amoxicillin (500 mg)\n'
+        '7,"The ""best"" syrup",9,FALSE,x,"a bottle\nof 60 ml",Zinc (10mg),\n'
     )
     (tmp_path / "c.csv").write_text(text, encoding="utf-8")
     items = catalogue.import_products(catalogue.read_csv(spark, str(tmp_path / "c.csv")))
     rows = items.orderBy("pos").collect()
-    assert [r["name"] for r in rows] == ["Augmentin 625 Duo Tablet", "Moxclav, 625"]
+    assert [r["name"] for r in rows] == ["Augmentin 625 Duo Tablet", "Moxclav, 625", 'The "best" syrup']
+    assert rows[2]["pack"] == "a bottle\nof 60 ml"
     assert rows[0]["salt"] == "Amoxicillin (500mg) + Clavulanic Acid (125mg)"
     assert rows[0]["salt_keys"] == ["amoxicillin", "clavulanic acid"] and rows[0]["block_key"] == "aug"
     path = str(tmp_path / "catalogue")
     catalogue.store_catalogue(items, path)
     _, groups = catalogue.load_catalogue(spark, path)
-    group = groups.collect()
-    assert [(g["generic_name"], g["generic_price"], g["product_count"]) for g in group] == [("Moxclav, 625", 100.0, 2)]
+    group = groups.orderBy("generic_name").collect()
+    assert [(g["generic_name"], g["generic_price"], g["product_count"]) for g in group] == [("Moxclav, 625", 100.0, 2), ('The "best" syrup', 9.0, 1)]
 
 
 def test_layouts_match_the_writers(spark, small):

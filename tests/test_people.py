@@ -71,12 +71,25 @@ def test_display_order(spark):
         "rx_id int, position int, brand string, salt_keys array<string>",
     )
     found = safety.interactions(meds, spark.createDataFrame(RULES, RULE_SCHEMA))
-    rows = found.orderBy(*safety.display_order("rx_id")).collect()
+    rows = found.orderBy("rx_id", *safety.display_order()).collect()
     assert [(r["severity"], r["effect"], r["pos_a"], r["pos_b"]) for r in rows] == [
         ("major", "bleeding", 1, 2), ("moderate", "stomach", 0, 1), ("moderate", "other way", 1, 2),
     ]
 
 
+def test_second_brand_stands_after_the_first(spark):
+    """Basket B, A, B, C, B and a very long one: pos_b is the first place after pos_a."""
+    rows = [(1, i, x, [s]) for i, (x, s) in enumerate([("B", "s"), ("A", "s"), ("B", "s"), ("C", "s"), ("B", "s")])]
+    rows += [(2, i, f"x{i % 7}", ["t"]) for i in range(5000)]
+    meds = spark.createDataFrame(rows, "rx_id int, position int, brand string, salt_keys array<string>")
+    found = safety.interactions(meds, spark.createDataFrame([], RULE_SCHEMA))
+    got = [(r["brand_a"], r["brand_b"], r["pos_a"], r["pos_b"]) for r in found.filter("rx_id = 1").orderBy(*safety.display_order()).collect()]
+    assert [g for g in got if g[0] != g[1]] == [
+        ("B", "A", 0, 1), ("B", "C", 0, 3), ("A", "B", 1, 2), ("A", "C", 1, 3), ("C", "B", 3, 4),
+    ] and ("B", "B", 0, 2) in got
+    assert found.filter("rx_id = 2").count() == 49
+
+
 def test_cross_interactions_skip_the_same_brand(spark):
     scanned = [(1, 7, 0, "Asp", ["aspirin"]), (1, 7, 1, "Asp", ["aspirin"]), (2, 8, 0, "W", ["warfarin"])]
     saved = [(7, "ASP", ["aspirin"]), (7, "War", ["warfarin"]), (8, "Other", ["warfarin"]), (9, "A", ["aspirin"])]

@@ -17,7 +17,7 @@ GOLDEN = [
     ("lc montek", "montek lc", 95),
     ("", "dolo", 0),
 ]
-PLAIN = {"weighted": brute.weighted, "edit": brute.edit}
+PLAIN = {"weighted": brute.weighted}
 word = st.one_of(st.sampled_from(["red", "rod", "tablet", "650", "a", "x" * 40]), st.text("abc12", max_size=6))
 name = st.lists(word, max_size=4).map(lambda w: " ".join(x for x in w if x))
 
@@ -67,7 +67,33 @@ def test_texts_longer_than_a_word():
     a, b = "ab" * 50, "ba" * 45 + "c"
     at = np.array([0])
     assert similarity.WeightedRatio([a], [b]).score(at, at)[0] == pytest.approx(brute.weighted(a, b))
-    assert similarity.EditSimilarity([a], [b]).score(at, at)[0] == pytest.approx(brute.edit(a, b))
     far = "ab" * 40
     long = "xy" * 80 + far
     assert similarity.WeightedRatio([far], [long]).score(at, at)[0] == pytest.approx(brute.weighted(far, long))
+
+
+def test_words_longer_than_small_integers():
+    a, b = "ab" * 17_000, "ab" * 16_999
+    assert similarity.best_candidates([a + " x"], [b + " x"], "weighted", True, 0.0)[1][0] >= 99
+
+
+def test_edit_in_columns(spark, plan):
+    from rxframe.operators import scoring
+
+    queries = ["dolo 650", "augmentn", "", "ab" * 60, "pan", "éa"]
+    names = ["dolo 500", "dolo 65", "augmentin", "pan 40", "ab" * 55, "ea", ""]
+    q = spark.createDataFrame([("x", t) for t in queries], "block string, text string")
+    c = spark.createDataFrame([("x", t, t) for t in names], "block string, text string, ord string")
+    for whole in (True, False):
+        best = scoring.best_per_query(q, c, "edit", whole, 40.0)
+        assert "Python" not in plan(best)
+        found = {r["text"]: (r["candidate"], r["score"]) for r in best.collect()}
+        want = {}
+        for t in queries:
+            keys = []
+            for n in names:
+                score = brute.edit(t, n)
+                keys.append((-(math.floor(score) if whole else score), abs(len(t) - len(n)) if whole else 0, n))
+            if -min(keys)[0] >= 40:
+                want[t] = (min(keys)[2], pytest.approx(-min(keys)[0]))
+        assert found == want
