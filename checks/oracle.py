@@ -469,6 +469,41 @@ oracle(
     sql="""SELECT drug_name_normalized, count(*) AS lines, max(match_score) AS best_score
       FROM matched WHERE match_method = 'unmatched' GROUP BY 1""",
 )
+EDIT = "(greatest(length(q), length(term)) - levenshtein(q, term)) * 100.0 / greatest(length(q), length(term))"
+part(
+    "asked",
+    "clean",
+    sql="""SELECT DISTINCT lower(unnest([drug_name_normalized, replace(drug_name_raw, 'Tab ', '')])) AS q FROM clean""",
+)
+part(
+    "tiers",
+    "asked",
+    "term_rows",
+    sql=f"""SELECT q, CASE WHEN e.term IS NOT NULL THEN row(e.tier, e.pos, 100)
+        WHEN b[3] >= coalesce(c[3], 0) THEN b ELSE c END AS hit
+      FROM asked LEFT JOIN term_rows e ON e.term = q
+      LEFT JOIN (SELECT q, arg_min(row(tier, pos, floor(s)::INTEGER), row(-s, tier, pos, variant)) AS c FROM (
+        SELECT q, tier, pos, variant, {EDIT} AS s FROM asked JOIN term_rows ON tier = 0) WHERE s >= 72 GROUP BY q) USING (q)
+      LEFT JOIN (SELECT q, arg_min(row(tier, pos, floor(s)::INTEGER), row(-s, tier, pos, variant)) AS b FROM (
+        SELECT q, tier, pos, variant, {EDIT} AS s FROM asked JOIN term_rows ON left(term, 3) = left(q, 3)
+        WHERE length(q) >= 3) WHERE s >= 85 GROUP BY q) USING (q)""",
+)
+oracle(
+    "tiered_match_edit",
+    "clean",
+    "tiers",
+    sql="""SELECT line_id, drug_name_normalized AS name, hit[1] AS tier, hit[2] AS pos, coalesce(hit[3], 0) AS match_score
+      FROM clean JOIN tiers ON q = lower(drug_name_normalized)""",
+)
+oracle(
+    "best_of_two_edit",
+    "clean",
+    "tiers",
+    sql="""SELECT line_id, drug_name_raw, drug_name_normalized, h[1] AS tier, h[2] AS pos, coalesce(h[3], 0) AS match_score
+      FROM (SELECT clean.*, CASE WHEN r.hit[3] > coalesce(i.hit[3], 0) THEN r.hit ELSE i.hit END AS h
+        FROM clean JOIN tiers i ON i.q = lower(drug_name_normalized)
+        JOIN tiers r ON r.q = lower(replace(drug_name_raw, 'Tab ', '')))""",
+)
 DRAW = "('0x' || substr(md5('{seed}|' || copy || '|' || pos), 1, 8))::BIGINT"
 oracle(
     "noisy_names",

@@ -403,6 +403,20 @@ def best_of_two(spark, d):
     )
 
 
+@query
+def tiered_match_edit(spark, d):
+    names = _clean(spark, d).select("line_id", F.col("drug_name_normalized").alias("name"))
+    return matching.tiered_match(names, X.stored_terms(spark, d), scorer="edit")
+
+
+@query
+def best_of_two_edit(spark, d):
+    lines = _clean(spark, d).select("line_id", "drug_name_raw", "drug_name_normalized")
+    return matching.best_of_two(
+        lines, X.stored_terms(spark, d), "drug_name_raw", "drug_name_normalized", "edit"
+    )
+
+
 @query
 def noisy_names(spark, d):
     """A sample as long as the catalogue and a half, so that names repeat."""

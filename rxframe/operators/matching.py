@@ -42,6 +42,8 @@ def entries(
 ) -> DataFrame:
     """Curated and catalogue rows in one layout, keyed by (tier, pos)."""
     linked = link_curated(curated, groups, spelling)
+    stated = F.col("price_asof") if "price_asof" in curated.columns else F.lit(None).cast("string")
+    own_asof = F.coalesce(F.nullif(stated, F.lit("")), F.lit(K.CURATED_PRICE_ASOF))
     return linked.select(
         F.lit(CURATED).alias("tier"),
         "pos",
@@ -53,7 +55,7 @@ def entries(
         "brand_price",
         F.col("generic.name").alias("generic_name"),
         F.col("generic.price").alias("generic_price"),
-        F.lit(K.CURATED_PRICE_ASOF).alias("price_asof"),
+        own_asof.alias("price_asof"),
         "signature",
         F.coalesce("product_count", F.lit(0)).alias("same_salt_brands"),
     ).unionByName(
@@ -224,7 +226,7 @@ def exact_terms(names: DataFrame, terms: DataFrame, column: str = "name") -> Dat
     return names.withColumn("term", text.query_term(F.col(column))).join(terms, "term")
 
 
-def match_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
+def match_terms(queries: DataFrame, terms: DataFrame, scorer: str = "weighted") -> DataFrame:
     """Distinct look-up texts (``term``) to (term, tier, pos, match_score); misses have score 0.
 
     Exact term, else the best curated term from 72 (final from 95), else the best term with the
@@ -245,6 +247,7 @@ def match_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
         scoring.best_per_query(
             rest.select(one_block, text_col),
             terms.filter(F.col("tier") == CURATED).select(one_block, text_col, order),
+            scorer,
             whole=False,
             cutoff=K.CURATED_THRESHOLD,
         ).select("text", F.col("ord").alias("c_ord"), F.floor("score").cast("int").alias("c_score")),
@@ -259,6 +262,7 @@ def match_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
     bulk = scoring.best_per_query(
         open_.select(prefix, text_col),
         terms.select(prefix, text_col, order),
+        scorer,
         whole=False,
         cutoff=K.BULK_THRESHOLD,
     ).select("text", F.col("ord").alias("b_ord"), F.floor("score").cast("int").alias("b_score"))
@@ -279,10 +283,12 @@ def match_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return exact.unionByName(near)
 
 
-def tiered_match(names: DataFrame, terms: DataFrame, column: str = "name") -> DataFrame:
+def tiered_match(
+    names: DataFrame, terms: DataFrame, column: str = "name", scorer: str = "weighted"
+) -> DataFrame:
     """Every row with (tier, pos, match_score) of its best entry; nulls and 0 when there is none."""
     asked = names.withColumn("term", text.query_term(F.col(column)))
-    found = match_terms(asked, terms)
+    found = match_terms(asked, terms, scorer)
     return (
         asked.join(found, "term", "left")
         .withColumn("match_score", F.coalesce("match_score", F.lit(0)))
@@ -290,7 +296,9 @@ def tiered_match(names: DataFrame, terms: DataFrame, column: str = "name") -> Da
     )
 
 
-def best_of_two(lines: DataFrame, terms: DataFrame, raw: str, interpreted: str) -> DataFrame:
+def best_of_two(
+    lines: DataFrame, terms: DataFrame, raw: str, interpreted: str, scorer: str = "weighted"
+) -> DataFrame:
     """Match the literal text and its interpretation, keep the better; the interpretation on ties."""
     asked = lines.withColumns(
         {"term_i": text.query_term(F.col(interpreted)), "term_r": text.query_term(F.col(raw))}
@@ -298,7 +306,7 @@ def best_of_two(lines: DataFrame, terms: DataFrame, raw: str, interpreted: str)
     both = asked.select(
         F.explode(F.array_distinct(F.array("term_i", "term_r"))).alias("term")
     ).distinct()
-    found = settle(match_terms(both, terms), "found")
+    found = settle(match_terms(both, terms, scorer), "found")
 
     def side(suffix: str) -> DataFrame:
         hit = F.struct("tier", "pos", "match_score").alias(f"hit_{suffix}")
