@@ -1,5 +1,35 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from rxframe.llm import licenses
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    """The canonical form of a license text; spellings are the same fixed values."""
+    low = f"lower(coalesce({text}, ''))"
+    body = f"CASE WHEN regexp_matches({low}, 'copyright|\\(c\\)|©|rights reserved') THEN regexp_replace({low}, {_quoted(licenses.COPYRIGHT)}, '', 'g') ELSE {low} END"
+    out = f"regexp_replace({body}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    for found, wanted in licenses.SPELLINGS:
+        out = f"replace({out}, {_quoted(found)}, {_quoted(wanted)})"
+    return out
+
+
+_WHOLE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(body)})" for name, body in licenses.KNOWN)
+#: Base 32 letters of each 5 hexadecimal digits of a SHA-1.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {shift} & 31)::INTEGER + 1, 1)"
+    for g in range(8)
+    for shift in (15, 10, 5, 0)
+)
+#: The smallest id reachable over ``links`` (a, b, both ways) from each id of ``d``.
+_REACH = """r AS (
+  SELECT id, id AS c FROM d UNION SELECT links.b, r.c FROM r JOIN links ON links.a = r.id
+), components AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)"""
+
 ORACLE = {
     "op4_mixing": r"""
 WITH d AS (
@@ -45,5 +75,52 @@ SELECT doc_id,
   row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) = 1 AS kept,
   text_sha256
 FROM d
+""",
+    "op3_license_scan": f"""
+WITH known AS (
+  SELECT DISTINCT license, {_WHOLE.format("form")} AS form FROM (SELECT license, {_canonical("body")} AS form FROM (VALUES {_KNOWN}) k(license, body))
+), d AS (
+  SELECT doc_id, {_canonical("text")} AS form FROM documents
+), n AS (
+  SELECT doc_id, list_sort(list(DISTINCT license)) AS names
+  FROM (SELECT doc_id, trim(unnest(string_split(form, chr(10)))) AS line FROM d) JOIN known ON known.form = line GROUP BY doc_id
+), w AS (
+  SELECT doc_id, list_sort(list(DISTINCT license)) AS names FROM d JOIN known ON known.form = {_WHOLE.format("d.form")} GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN {_WHOLE.format("form")} <> '' THEN sha256({_WHOLE.format("form")}) END AS text_digest,
+  coalesce(array_to_string(w.names, ','), '') AS licenses, coalesce(array_to_string(n.names, ','), '') AS notices
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN w USING (doc_id)
+""",
+    "op5_minhash_near_dedup": rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), d AS (
+  SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM t
+), x AS (SELECT id, len(s) AS n, unnest(s) AS shingle FROM d
+), links AS (
+  SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.id <> b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), {_REACH}
+SELECT id AS doc_id, len(s) AS n_shingles, component_id, id = component_id AS kept FROM d JOIN components USING (id)
+""",
+    "op7_warc": f"""
+WITH d AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages)
+SELECT page_id, strlen(html) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = min(page_id) OVER (PARTITION BY h) THEN 'response' ELSE 'revisit' END AS record_type,
+  nullif(min(page_id) OVER (PARTITION BY h), page_id) AS refers_to
+FROM d
+""",
+    "op9_embedding_near_dedup": f"""
+WITH RECURSIVE d AS (
+  SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings
+), k AS (
+  SELECT * FROM d WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0 AND label IS NOT NULL
+), links AS (
+  SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.label = b.label AND a.id <> b.id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.93
+), {_REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = d.id) AS n_links, component_id, id = component_id AS kept
+FROM d JOIN components USING (id)
 """,
 }
