@@ -68,6 +68,7 @@ def main() -> None:
         )
 
     few, many = noisy(500), noisy(5000)
+    keep = session.settle
 
     def upsert():
         path = f"{session.scratch_root(spark)}/silver"
@@ -78,14 +79,14 @@ def main() -> None:
 
     names = lines.select("line_id", F.col("drug_name_normalized").alias("name"))
     queries = {
-        "fuzzy_match_500": lambda: matching.match_lines(few, products, groups),
-        "fuzzy_match_5000": lambda: matching.match_lines(many, products, groups),
-        "fuzzy_match_wratio": lambda: matching.match_lines(lines, products, groups),
-        "fuzzy_match_levenshtein": lambda: matching.match_lines(lines, products, groups, "edit"),
-        "tiered_match": lambda: matching.tiered_match(names, terms),
+        "fuzzy_match_500": lambda: matching.match_lines(few, products, groups, keep=keep),
+        "fuzzy_match_5000": lambda: matching.match_lines(many, products, groups, keep=keep),
+        "fuzzy_match_wratio": lambda: matching.match_lines(lines, products, groups, keep=keep),
+        "fuzzy_match_levenshtein": lambda: matching.match_lines(lines, products, groups, "edit", keep=keep),
+        "tiered_match": lambda: matching.tiered_match(names, terms, keep=keep),
         "parse_and_validate": lambda: quality.check(parse_captures(captures, X.processed_at())),
         "silver_upsert": upsert,
-        "interaction_pairs": lambda: safety.interactions(baskets, rules),
+        "interaction_pairs": lambda: safety.interactions(baskets, rules, keep=keep),
         "catalogue_import": lambda: catalogue.import_products(rows, X.SPELLING),
         "signature_groups": lambda: catalogue.signature_groups(products),
         "alternatives": lambda: alternatives.with_alternatives(

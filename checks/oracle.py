@@ -363,8 +363,8 @@ oracle(
 oracle(
     "curated_merge",
     "curated",
-    sql="""SELECT brand, category, brand_price, array_to_string(aliases, ';') AS aliases
-      FROM curated""",
+    sql="""SELECT brand, category, brand_price, array_to_string(aliases, ';') AS aliases,
+      row_number() OVER (PARTITION BY category ORDER BY brand, brand_price) AS category_rank FROM curated""",
 )
 oracle(
     "rule_merge",
@@ -593,7 +593,8 @@ oracle(
     "baskets",
     "saved",
     "rules",
-    sql=f"""SELECT scan_id, user_id, brand_a, saved_med, rule_pos, severity, effect,
+    sql=f"""SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY severity <> 'major', pos_a, rule_pos, effect,
+        brand_a, saved_med) AS warning_rank FROM (SELECT scan_id, user_id, brand_a, saved_med, rule_pos, severity, effect,
         min(pos_a) AS pos_a FROM (
         SELECT a.rx_id AS scan_id, user_id, a.brand AS brand_a, saved.brand AS saved_med, rule_pos,
           severity, effect, a.position AS pos_a
@@ -607,7 +608,7 @@ oracle(
               lambda x: x <> 'gear')) AS s
           FROM baskets a JOIN orders ON o_orderkey = l_orderkey JOIN saved ON user_id = o_custkey
           WHERE lower(a.brand) <> lower(saved.brand)))
-      GROUP BY ALL""",
+      GROUP BY ALL)""",
 )
 oracle(
     "basket_totals",
@@ -722,11 +723,13 @@ oracle(
     "layer_reconcile",
     "captures",
     "checked",
+    "matched",
     sql="""SELECT pipeline_run_id, max(b) AS bronze_rows, max(s) AS silver_rows,
-        max(q) AS quarantine_rows FROM (
-        SELECT pipeline_run_id, count(*) AS b, 0 AS s, 0 AS q FROM captures GROUP BY 1
+        max(q) AS quarantine_rows, max(g) AS gold_rows FROM (
+        SELECT pipeline_run_id, count(*) AS b, 0 AS s, 0 AS q, 0 AS g FROM captures GROUP BY 1
+        UNION ALL SELECT pipeline_run_id, 0, 0, 0, count(*) FROM matched GROUP BY 1
         UNION ALL SELECT pipeline_run_id, 0, count(*) FILTER (rejection_reason IS NULL),
-          count(*) FILTER (rejection_reason IS NOT NULL) FROM checked GROUP BY 1)
+          count(*) FILTER (rejection_reason IS NOT NULL), 0 FROM checked GROUP BY 1)
       GROUP BY 1""",
 )
 oracle(
@@ -764,7 +767,8 @@ oracle(
         (o_orderkey % 4)::INTEGER AS warnings
       FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 5""",
 )
-oracle("saved_medicines", "saved", sql="SELECT user_id, brand, id, salt FROM saved")
+oracle("saved_medicines", "saved", sql="""SELECT user_id, brand, id, salt,
+    row_number() OVER (PARTITION BY user_id ORDER BY brand) AS brand_rank FROM saved""")
 ORACLE["quota_admission"] = """WITH RECURSIVE e AS (
     SELECT event_id, user_id AS client, epoch_us(ts) AS moment,
       row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),

@@ -146,8 +146,9 @@ def curated_merge(spark, d):
     source = X.curated_source(spark, d)
     base = X.curated(spark, d).join(source.filter("p_size <= 25").select("pos"), "pos", "left_semi")
     merged = curated.merge_brands(base, source.drop("p_size"))
+    rank = F.row_number().over(Window.partitionBy("category").orderBy(*curated.category_order(), "brand_price"))
     return merged.select(
-        "brand", "category", "brand_price", _joined("aliases", ";").alias("aliases")
+        "brand", "category", "brand_price", _joined("aliases", ";").alias("aliases"), rank.alias("category_rank")
     )
 
 
@@ -365,6 +366,7 @@ def _edit_match(spark, d):
         "edit",
         EDIT_THRESHOLD,
         X.processed_at(),
+        session.settle,
     )
 
 
@@ -377,7 +379,11 @@ def fuzzy_match_levenshtein(spark, d):
 def fuzzy_match_wratio(spark, d):
     items = X.products(spark, d)
     return matching.match_lines(
-        _clean(spark, d), items, catalogue.signature_groups(items), matched_at=X.processed_at()
+        _clean(spark, d),
+        items,
+        catalogue.signature_groups(items),
+        matched_at=X.processed_at(),
+        keep=session.settle,
     ).select(*MATCH_COLUMNS)
 
 
@@ -392,28 +398,28 @@ def unmatched_report(spark, d):
 @query
 def tiered_match(spark, d):
     names = _clean(spark, d).select("line_id", F.col("drug_name_normalized").alias("name"))
-    return matching.tiered_match(names, X.stored_terms(spark, d))
+    return matching.tiered_match(names, X.stored_terms(spark, d), keep=session.settle)
 
 
 @query
 def best_of_two(spark, d):
     lines = _clean(spark, d).select("line_id", "drug_name_raw", "drug_name_normalized")
     return matching.best_of_two(
-        lines, X.stored_terms(spark, d), "drug_name_raw", "drug_name_normalized"
+        lines, X.stored_terms(spark, d), "drug_name_raw", "drug_name_normalized", keep=session.settle
     )
 
 
 @query
 def tiered_match_edit(spark, d):
     names = _clean(spark, d).select("line_id", F.col("drug_name_normalized").alias("name"))
-    return matching.tiered_match(names, X.stored_terms(spark, d), scorer="edit")
+    return matching.tiered_match(names, X.stored_terms(spark, d), scorer="edit", keep=session.settle)
 
 
 @query
 def best_of_two_edit(spark, d):
     lines = _clean(spark, d).select("line_id", "drug_name_raw", "drug_name_normalized")
     return matching.best_of_two(
-        lines, X.stored_terms(spark, d), "drug_name_raw", "drug_name_normalized", "edit"
+        lines, X.stored_terms(spark, d), "drug_name_raw", "drug_name_normalized", "edit", session.settle
     )
 
 
@@ -434,8 +440,11 @@ def match_quality(spark, d):
         F.col("noisy").alias("drug_name_normalized"),
         F.lit("benchmark").alias("pipeline_run_id"),
     )
-    batch = matching.match_lines(lines, items, catalogue.signature_groups(items))
-    tiered = matching.tiered_match(noisy.select("line_id", F.col("noisy").alias("name")), X.stored_terms(spark, d))
+    batch = matching.match_lines(
+        lines, items, catalogue.signature_groups(items), keep=session.settle
+    )
+    names = noisy.select("line_id", F.col("noisy").alias("name"))
+    tiered = matching.tiered_match(names, X.stored_terms(spark, d), keep=session.settle)
     return sampling.match_quality(batch, tiered)
 
 
@@ -497,7 +506,9 @@ def medicine_detail(spark, d):
 
 @query
 def interaction_pairs(spark, d):
-    found = safety.interactions(X.baskets(spark, d), X.rules(spark, d), ignored=X.IGNORED)
+    found = safety.interactions(
+        X.baskets(spark, d), X.rules(spark, d), ignored=X.IGNORED, keep=session.settle
+    )
     order = safety.display_order(F.col("effect"), F.col("brand_a"), F.col("brand_b"))
     rank = F.row_number().over(Window.partitionBy("rx_id").orderBy(*order))
     return found.select(
@@ -513,8 +524,11 @@ def cross_interactions(spark, d):
     scanned = X.baskets(spark, d).join(orders, "l_orderkey").withColumnRenamed("rx_id", "scan_id")
     saved = reports.saved_medicines(X.user_meds(spark, d))
     found = safety.cross_interactions(scanned, saved, X.rules(spark, d), ignored=X.IGNORED)
+    order = [F.col("severity") != "major", "pos_a", "rule_pos", "effect", "brand_a", "saved_med"]
+    rank = F.row_number().over(Window.partitionBy("scan_id").orderBy(*order))
     return found.select(
-        "scan_id", "user_id", "brand_a", "saved_med", "rule_pos", "severity", "effect", "pos_a"
+        "scan_id", "user_id", "brand_a", "saved_med", "rule_pos", "severity", "effect", "pos_a",
+        rank.alias("warning_rank"),
     )
 
 
@@ -649,6 +663,7 @@ def _metrics(spark, d):
         "edit",
         EDIT_THRESHOLD,
         X.processed_at(),
+        session.settle,
     )
     return (
         reports.run_metrics(
@@ -712,6 +727,7 @@ def layer_reconcile(spark, d):
         bronze=X.captures(spark, d),
         silver=checked.filter("rejection_reason IS NULL"),
         quarantine=checked.filter("rejection_reason IS NOT NULL"),
+        gold=_edit_match(spark, d),
     )
 
 
@@ -748,7 +764,9 @@ def scan_history(spark, d):
 
 @query
 def saved_medicines(spark, d):
-    return reports.saved_medicines(X.user_meds(spark, d)).select("user_id", "brand", "id", "salt")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("brand"))
+    found = reports.saved_medicines(X.user_meds(spark, d))
+    return found.select("user_id", "brand", "id", "salt", rank.alias("brand_rank"))
 
 
 @query

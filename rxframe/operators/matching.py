@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxframe import constants as K
 from rxframe.functions import composition, money, text
 from rxframe.operators import scoring
-from rxframe.session import settle
+from rxframe.session import lazy
 
 CURATED, BULK = 0, 1
 
@@ -135,11 +137,15 @@ def match_names(
     products: DataFrame,
     scorer: str = "weighted",
     form_prefixes: list[str] = K.FORM_PREFIXES_SHORT,
+    keep: Callable = lazy,
 ) -> DataFrame:
-    """Best product per distinct normalised name: (q_norm, score, name, salt, price, signature)."""
-    reps = representatives(products)
-    keep = ["q_norm", "score", "name", "salt", "price", "signature"]
-    queries = settle(
+    """Best product per distinct normalised name: (q_norm, score, name, salt, price, signature).
+
+    ``keep`` may store intermediate tables that are read several times (``session.settle``).
+    """
+    reps = keep(representatives(products), "representatives")
+    columns = ["q_norm", "score", "name", "salt", "price", "signature"]
+    queries = keep(
         names.select("q_norm")
         .filter("q_norm <> ''")
         .distinct()
@@ -167,7 +173,7 @@ def match_names(
         "price",
         "signature",
     )
-    return same.select(keep).unionByName(near.select(keep))
+    return same.select(columns).unionByName(near.select(columns))
 
 
 def match_lines(
@@ -177,10 +183,11 @@ def match_lines(
     scorer: str = "weighted",
     threshold: int = K.BATCH_THRESHOLD,
     matched_at: Column | None = None,
+    keep: Callable = lazy,
 ) -> DataFrame:
     """Silver lines to matched lines; every line stays, unmatched ones keep their best score."""
     named = lines.withColumn("q_norm", text.norm(F.col("drug_name_normalized")))
-    best = match_names(named, products, scorer)
+    best = match_names(named, products, scorer, keep=keep)
     hit = F.col("score") >= threshold
     enriched = best.join(groups, "signature", "left").select(
         "q_norm",
@@ -226,14 +233,16 @@ def exact_terms(names: DataFrame, terms: DataFrame, column: str = "name") -> Dat
     return names.withColumn("term", text.query_term(F.col(column))).join(terms, "term")
 
 
-def match_terms(queries: DataFrame, terms: DataFrame, scorer: str = "weighted") -> DataFrame:
+def match_terms(
+    queries: DataFrame, terms: DataFrame, scorer: str = "weighted", keep: Callable = lazy
+) -> DataFrame:
     """Distinct look-up texts (``term``) to (term, tier, pos, match_score); misses have score 0.
 
     Exact term, else the best curated term from 72 (final from 95), else the best term with the
     same first three letters from 85, which wins ties against the curated one.
     """
     order = F.struct("tier", "pos", "variant").alias("ord")
-    asked = settle(
+    asked = keep(
         queries.select("term").filter("term <> ''").distinct().join(terms, "term", "left"), "terms"
     )
     exact = asked.filter("pos IS NOT NULL").select(
@@ -243,7 +252,7 @@ def match_terms(queries: DataFrame, terms: DataFrame, scorer: str = "weighted")
 
     one_block = F.lit("").alias("block")
     text_col = F.col("term").alias("text")
-    curated = settle(
+    curated = keep(
         scoring.best_per_query(
             rest.select(one_block, text_col),
             terms.filter(F.col("tier") == CURATED).select(one_block, text_col, order),
@@ -284,11 +293,15 @@ def match_terms(queries: DataFrame, terms: DataFrame, scorer: str = "weighted")
 
 
 def tiered_match(
-    names: DataFrame, terms: DataFrame, column: str = "name", scorer: str = "weighted"
+    names: DataFrame,
+    terms: DataFrame,
+    column: str = "name",
+    scorer: str = "weighted",
+    keep: Callable = lazy,
 ) -> DataFrame:
     """Every row with (tier, pos, match_score) of its best entry; nulls and 0 when there is none."""
     asked = names.withColumn("term", text.query_term(F.col(column)))
-    found = match_terms(asked, terms, scorer)
+    found = match_terms(asked, terms, scorer, keep)
     return (
         asked.join(found, "term", "left")
         .withColumn("match_score", F.coalesce("match_score", F.lit(0)))
@@ -297,7 +310,12 @@ def tiered_match(
 
 
 def best_of_two(
-    lines: DataFrame, terms: DataFrame, raw: str, interpreted: str, scorer: str = "weighted"
+    lines: DataFrame,
+    terms: DataFrame,
+    raw: str,
+    interpreted: str,
+    scorer: str = "weighted",
+    keep: Callable = lazy,
 ) -> DataFrame:
     """Match the literal text and its interpretation, keep the better; the interpretation on ties."""
     asked = lines.withColumns(
@@ -306,7 +324,7 @@ def best_of_two(
     both = asked.select(
         F.explode(F.array_distinct(F.array("term_i", "term_r"))).alias("term")
     ).distinct()
-    found = settle(match_terms(both, terms, scorer), "found")
+    found = keep(match_terms(both, terms, scorer, keep), "found")
 
     def side(suffix: str) -> DataFrame:
         hit = F.struct("tier", "pos", "match_score").alias(f"hit_{suffix}")

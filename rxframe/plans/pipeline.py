@@ -62,7 +62,7 @@ def refine(
     matched = timed(
         "match",
         lambda: settle(
-            matching.match_lines(clean, products, signature_groups(products), scorer, matched_at=at),
+            matching.match_lines(clean, products, signature_groups(products), scorer, matched_at=at, keep=settle),
             "matched",
         ),
     )

@@ -71,6 +71,11 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/rxframe-{uuid.uuid4().hex}"
 
 
+def lazy(df, name: str = "stage"):
+    """``df`` as it is: what operators do with intermediate tables unless the caller wants them stored."""
+    return df
+
+
 def settle(df, name: str = "stage"):
     """Cut lineage by writing ``df`` to the shared scratch folder and reading it back."""
     spark = df.sparkSession
