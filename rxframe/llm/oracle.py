@@ -11,9 +11,9 @@ def _canonical(text: str) -> str:
     """The canonical form of a license text; spellings are the same fixed values."""
     low = f"lower(coalesce({text}, ''))"
     body = f"CASE WHEN regexp_matches({low}, 'copyright|\\(c\\)|©|rights reserved') THEN regexp_replace({low}, {_quoted(licenses.COPYRIGHT)}, '', 'g') ELSE {low} END"
-    out = f"regexp_replace({body}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    out = f"' ' || regexp_replace({body}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     for found, wanted in licenses.SPELLINGS:
-        out = f"replace({out}, {_quoted(found)}, {_quoted(wanted)})"
+        out = f"regexp_replace({out}, '([ \\n]){found}', '\\1{wanted}', 'g')"
     return out
 
 
