@@ -144,3 +144,43 @@ def test_vectors_odd_tables(spark):
         ("1", 2, "1", True), ("2", 2, "1", False), ("2", 2, "1", False), ("None", 0, "None", True)
     ]
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+
+
+def hot_label(rows, seed, dim=32, common=0.0):
+    """One label of unit vectors, ``common`` of whose square lies in one direction, with 200 pairs at the threshold."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(rows, dim))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(1 - common)
+    x[:, 0] += np.sqrt(common)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(200):
+        side = r.normal(size=dim)
+        side -= (side @ x[i]) * x[i]
+        x[200 + i] = 0.932 * x[i] + np.sqrt(1 - 0.932**2) * side / np.linalg.norm(side)
+    return x
+
+
+@pytest.mark.parametrize("common", [0.0, 0.3])
+def test_vectors_of_a_hot_label(spark, monkeypatch, common):
+    """Pairs at the threshold in a label far larger than its windows; the label takes passes, then all pairs."""
+    x = hot_label(6000, 5, common=common)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    near = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    plan = embedding_dedup.planned(embedding_dedup.classes(table, "vec_id", "embedding", "label"), 0.93, 4, 4).first()
+    assert plan["passes"] and 16 < plan["passes"] < 6000 / 16
+    found = {v.vec_id: v.component_id for v in embedding_dedup.near_duplicates(table, passes=4, window=4).collect()}
+    recall = np.mean([found[a] == found[b] for a, b in near])
+    assert len(near) >= 200 and recall >= 0.98, recall
+    monkeypatch.setattr(embedding_dedup, "TILE", 1024)
+    found = {v.vec_id: v.component_id for v in embedding_dedup.near_duplicates(table).collect()}
+    assert all(found[a] == found[b] for a, b in near)
+
+
+def test_passes_grow_with_a_label():
+    """Calculated passes rise with rows and with a common direction; a narrow cone is left to all pairs."""
+    x = hot_label(4096, 6)
+    counts = [embedding_dedup.needed(x, n, 0.93, 64)[0] for n in (100_000, 1_000_000, 10_000_000)]
+    assert 8 < counts[0] < counts[1] < counts[2] and counts[2] > 25
+    assert embedding_dedup.needed(hot_label(4096, 6, common=0.5), 1_000_000, 0.93, 64)[0] > counts[1]
+    assert embedding_dedup.needed(hot_label(4096, 6, common=0.9), 1_000_000, 0.93, 64)[0] > 1_000_000 / 1024
