@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rxframe import constants as K
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+LISTED = "path string, at long, length long"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -46,6 +47,20 @@ def _contents(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, "content"])
 
 
+def read_listed(rows: DataFrame) -> DataFrame:
+    """Files of a listing (``LISTED``) with their contents."""
+    rows = rows.select("path", F.timestamp_millis("at").alias("modificationTime"), "length")
+    return rows.mapInArrow(_contents, FILE_SCHEMA)
+
+
+def list_hidden(spark: SparkSession, folder: str, listed: str, extensions: list[str], rows_per_file: int) -> None:
+    """Append the hidden files of a folder that ``listed`` does not name yet to it; it is there afterwards."""
+    found = spark.createDataFrame(_hidden(spark, folder, _pattern(extensions)), LISTED)
+    if _exists(spark, listed):
+        found = found.join(spark.read.schema(LISTED).parquet(listed), "path", "left_anti")
+    found.write.option("maxRecordsPerFile", rows_per_file).mode("append").parquet(listed)
+
+
 def scan(
     spark: SparkSession, folder: str, extensions: list[str] | None = None
 ) -> DataFrame:
@@ -61,9 +76,7 @@ def scan(
     hidden = _hidden(spark, folder, pattern)
     if not hidden:
         return files
-    rows = spark.createDataFrame(hidden, "path string, at long, length long")
-    rows = rows.select("path", F.timestamp_millis("at").alias("modificationTime"), "length")
-    return files.unionByName(rows.mapInArrow(_contents, FILE_SCHEMA))
+    return files.unionByName(read_listed(spark.createDataFrame(hidden, LISTED)))
 
 
 def lineage(files: DataFrame, run_id: str, ingested_at: Column | None = None) -> DataFrame:

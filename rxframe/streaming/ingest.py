@@ -24,16 +24,24 @@ def ingest_new_files(
     extensions: list[str] | None = None,
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Append lineage rows for files not seen before, then stop."""
+    """Append lineage rows for files not seen before, then stop.
+
+    Spark's stream skips names that begin with a dot or an underscore. They are listed at each start into a table in the
+    checkpoint, which is a second source of the same stream. A checkpoint of the form with one source cannot go on.
+    """
+    accepted = extensions or list(K.IMAGE_TYPES)
     files = (
         spark.readStream.format("binaryFile")
         .schema(landing.FILE_SCHEMA)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
-        .filter(landing.extension(F.col("path")).isin(extensions or list(K.IMAGE_TYPES)))
+        .filter(landing.extension(F.col("path")).isin(accepted))
     )
+    listed = f"{checkpoint.rstrip('/')}/hidden"
+    landing.list_hidden(spark, folder, listed, accepted, files_per_batch)
+    hidden = spark.readStream.schema(landing.LISTED).option("maxFilesPerTrigger", 1).parquet(listed)
     return (
-        landing.lineage(files, run_id)
+        landing.lineage(files.unionByName(landing.read_listed(hidden)), run_id)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)

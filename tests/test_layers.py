@@ -204,6 +204,23 @@ def test_landing_files(spark, tmp_path):
     assert go() == 4
 
 
+def test_stream_takes_every_name(spark, tmp_path):
+    folder, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    folder.mkdir()
+
+    def go(*names):
+        for name in names:
+            (folder / name).write_bytes(name.encode())
+        ingest.ingest_new_files(spark, str(folder), out, cp, "r", files_per_batch=1).awaitTermination()
+        return sorted(r["source_path"].rsplit("/", 1)[1] for r in spark.read.parquet(out).collect())
+
+    assert go("a.png", "_x.png", "_x.txt", ".z.PNG") == [".z.PNG", "_x.png", "a.png"]
+    assert go(".y.png") == [".y.png", ".z.PNG", "_x.png", "a.png"]
+    assert go() == [".y.png", ".z.PNG", "_x.png", "a.png"]
+    scanned = landing.lineage(landing.scan(spark, str(folder)), "r").collect()
+    assert {r["source_file_hash"] for r in scanned} == {r["source_file_hash"] for r in spark.read.parquet(out).collect()}
+
+
 def test_landing_takes_every_name(spark, tmp_path):
     for name in ("_b.png", ".c.PNG", "d e.png", "_x.txt"):
         (tmp_path / name).write_bytes(name.encode())
