@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxframe.llm import exact_dedup
+from rxframe.llm import exact_dedup, license_table
 from rxframe.llm.common import column, packed, unpacked
 from rxframe.session import settle
 
@@ -50,6 +50,8 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
 ]
+KNOWN += license_table.short({"MIT": KNOWN[0][1], "ISC": KNOWN[1][1]}) + license_table.texts() + license_table.notices()
+KNOWN = list(dict.fromkeys(KNOWN))
 
 #: Copyright lines: a notice with a sign or year, or a reservation of rights, that fills the line.
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\n]*(?:\(c\)|©|\d{4}).*|\(c\)\s.*|©.*|all rights reserved[^\p{L}\p{N}\n]*)$"
@@ -94,7 +96,8 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     """``digest`` and ``license`` of the known texts."""
     rows = spark.createDataFrame(known or KNOWN, "license string, body string")
     rows = digested(formed(rows, F.col("body")))
-    return rows.select(F.col("text_digest").alias("digest"), "license").filter("digest IS NOT NULL").distinct()
+    # One file: the table is small, and footers of many would count as its size.
+    return rows.select(F.col("text_digest").alias("digest"), "license").filter("digest IS NOT NULL").distinct().coalesce(1)
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:

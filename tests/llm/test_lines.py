@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 
@@ -87,6 +88,28 @@ def test_licenses(spark, documents):
     assert licenses.scan(documents([(1, "Some, WORDS!")]), own).first().licenses == ["L"]
 
 
+def test_licenses_whole_texts(spark, documents):
+    """Whole texts as they are found: with titles, without the appendix, re-wrapped, and notices of other licenses."""
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0"}
+    texts = {n: (folder / f).read_text() for f, n in names.items()}
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT")
+    rows = [(i, t) for i, t in enumerate(texts.values())]
+    wanted = [[n] for n in texts]
+    rows += [
+        (100, "MIT License\n\nCopyright (c) 2020 A. Author\n\n" + mit), (101, texts["Apache-2.0"].split("END OF TERMS")[0].replace("\n   ", "\n")),
+        (102, texts["GPL-2.0-only"].replace("\n", "\r\n")), (103, texts["GPL-3.0-only"][:20_000]),
+    ]
+    wanted += [["MIT"], ["Apache-2.0"], ["GPL-2.0-only"], []]
+    lines = ["// SPDX-License-Identifier: GPL-2.0-or-later", "Released under the BSD 3-Clause License", "# Licensed under CC BY 4.0.", "Licensed under the GNU General Public License, version 2 or later."]
+    rows += [(200 + i, "prose\n" + x) for i, x in enumerate(lines)]
+    found = {r.doc_id: r for r in licenses.scan(documents(rows)).collect()}
+    assert [found[i].licenses for i, _ in rows[: len(wanted)]] == wanted
+    assert [found[200 + i].notices for i in range(4)] == [["GPL-2.0-or-later"], ["BSD-3-Clause"], ["CC-BY-4.0"], ["GPL-2.0-or-later"]]
+    known = licenses.known_digests(spark)
+    assert known.groupBy("digest").count().filter("count > 1").isEmpty()
+
+
 def test_license_notices_by_line(given):
     docs = given("documents")
     form = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
