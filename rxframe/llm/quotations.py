@@ -2,10 +2,10 @@
 
 A message is split into lines; leading ``>`` signs give a line its quote level, and consecutive quoted lines of one
 level are a passage. Passages are normalised (white space and case) and hashed. So are the runs of a message's own
-lines, and each of its own lines, since people quote parts. A quoted passage is linked to the first earlier message
+lines, their paragraphs (cut at blank lines), and each of its own lines, since people quote parts. A quoted passage is linked to the first earlier message
 of its conversation that has the same own passage; each conversation and hash has one such message, found by a
 partial aggregate, so a passage that everybody quotes stays one row. If no own passage equals a quoted one, its
-lines are tried one by one.
+paragraphs are tried, then its lines one by one. Line breaks inside a passage or a paragraph do not count.
 
 A message answers the message of its lowest-level linked quote (the latest such); without a link it starts a thread.
 Answers come after what they answer, so sorting by (conversation, root of the thread, turn) gives conversations in reply
@@ -50,14 +50,19 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def passages(rows: DataFrame) -> DataFrame:
-    """Runs of lines of one level: ``key``, ``conv_id``, ``turn``, ``level``, ``run``, ``lines`` (normalised, not blank)."""
+    """Runs of lines of one level: ``key``, ``conv_id``, ``turn``, ``level``, ``run``, ``lines`` (normalised, not blank), ``paragraphs``."""
     # A run starts where the level changes; its number is the count of changes up to the line.
     start = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (F.get("lines", i).level != F.get("lines", i - 1).level))
     rows = rows.filter(F.size("lines") > 0).select("key", "conv_id", "turn", "lines", F.posexplode(start).alias("run", "at"), start.alias("starts"))
     end = F.coalesce(F.get("starts", F.col("run") + 1), F.size("lines"))
     part = F.slice("lines", F.col("at") + 1, end - F.col("at"))
-    texts = F.filter(F.transform(part, lambda x: normalised(x.line)), lambda x: x != "")
-    return rows.select("key", "conv_id", "turn", F.get("lines", F.col("at")).level.alias("level"), "run", texts.alias("lines")).filter(F.size("lines") > 0)
+    every = F.transform(part, lambda x: normalised(x.line))
+    # Normalised lines hold no line feed, so two of them are a blank line.
+    blocks = F.transform(F.split(F.array_join(every, "\n"), "\n\n+"), normalised)
+    texts, paragraphs = (F.filter(x, lambda x: x != "") for x in (every, blocks))
+    return rows.select(
+        "key", "conv_id", "turn", F.get("lines", F.col("at")).level.alias("level"), "run", texts.alias("lines"), paragraphs.alias("paragraphs")
+    ).filter(F.size("lines") > 0)
 
 
 def digest(lines: Column) -> Column:
@@ -68,19 +73,20 @@ def link(messages: DataFrame) -> DataFrame:
     """``key`` and ``parent`` turn of linked messages, with ``n_quotes`` and ``n_linked`` passages."""
     runs = settle(passages(messages), "passages")
     own = runs.filter("level = 0 AND conv_id IS NOT NULL AND turn IS NOT NULL")
-    hashes = own.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array(digest(F.col("lines"))), F.transform("lines", lambda x: F.md5(x))))).alias("hash"))
+    hashes = own.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array(digest(F.col("lines"))), F.transform("paragraphs", lambda x: F.md5(x)), F.transform("lines", lambda x: F.md5(x))))).alias("hash"))
     first = settle(hashes.groupBy(F.col("conv_id").alias("_conv"), F.col("hash").alias("_hash")).agg(F.min("turn").alias("source")), "originals")
     quoted = runs.filter("level > 0")
     tried = quoted.select(
         "key", "conv_id", "turn", "level", "run",
         F.explode(F.concat(
             F.array(F.struct(F.lit(0).alias("part"), digest(F.col("lines")).alias("hash"))),
-            F.transform("lines", lambda x: F.struct(F.lit(1).alias("part"), F.md5(x).alias("hash"))),
+            F.transform("paragraphs", lambda x: F.struct(F.lit(1).alias("part"), F.md5(x).alias("hash"))),
+            F.transform("lines", lambda x: F.struct(F.lit(2).alias("part"), F.md5(x).alias("hash"))),
         )).alias("x"),
     )
     hit = (F.col("conv_id") == F.col("_conv")) & (F.col("x.hash") == F.col("_hash")) & (F.col("source") < F.col("turn"))
     found = tried.join(first, hit, "left")
-    # The whole passage counts before its lines, and of lines the one said last.
+    # The whole passage counts before its paragraphs, these before its lines, and of equals the one said last.
     best = F.min(F.when(F.col("source").isNotNull(), F.struct("x.part", (-F.col("source")).alias("late"))))
     by_run = found.groupBy("key", "run", "level").agg(best.alias("best"))
     of = F.min(F.when(F.col("best").isNotNull(), F.struct("level", F.col("best.late").alias("late"))))

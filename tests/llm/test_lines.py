@@ -145,6 +145,19 @@ def test_quotations(spark):
     assert quotations.conversations(table.limit(0)).count() == 0
 
 
+def test_quoted_paragraph_of_another_width(spark):
+    rows = [
+        (1, 0, "user", "Hello there.\n\nA join meets rows of\ntwo tables by key\nand keeps both.\n\nThanks a lot."),
+        (1, 1, "user", "Something else."),
+        (1, 2, "assistant", "> A join meets\n> rows of two tables by\n> key and keeps both.\nYes."),
+        (1, 3, "assistant", "> not said\n>\n> A join meets rows\n> of two tables by key and keeps both.\nNo."),
+        (1, 4, "assistant", "> A join meets rows\n> of two\nNo paragraph."),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.turn: (r.n_linked, r.parent_turn, r.root_turn) for r in quotations.conversations(table).collect()}
+    assert found == {0: (0, None, 0), 1: (0, None, 1), 2: (1, 0, 0), 3: (1, 0, 0), 4: (0, None, 4)}
+
+
 def test_quotations_over_a_table(spark, given):
     """Quotes put into every third message of the given table are found again, and nothing else changes."""
     rows = sorted(map(tuple, given("conversations").select("conv_id", "turn", "role", "text").collect()))
