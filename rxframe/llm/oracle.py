@@ -123,4 +123,20 @@ WITH RECURSIVE d AS (
 SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = d.id) AS n_links, component_id, id = component_id AS kept
 FROM d JOIN components USING (id)
 """,
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS y,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS a, b.id AS b, a.y = b.y AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s
+  FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id
+), p AS (
+  SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY p.a, p ORDER BY s DESC, b) AS rank,
+  b AS negative_id, ps AS positive_score, s AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT same AND 80 * ps <= 100 * s AND 100 * s <= 100 * ps
+QUALIFY rank <= 5""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxframe.llm import embedding_dedup, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, quotations, warc
+from rxframe.llm import byte_pairs, embedding_dedup, exact_dedup, hard_negatives, licenses, line_dedup, mixing, near_dedup, packing, quality, quotations, turn_repair, warc
 from rxframe.llm.common import lean, table
 from rxframe.session import scratch_root, settle
 
@@ -60,6 +60,22 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.mark(slim).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_turn_repair(spark: SparkSession, d: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(lean(spark), d, "conversations"))
+
+
+def op12_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    coded = byte_pairs.decode(byte_pairs.encode(table(lean(spark), d, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(lean(spark), d, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.prepared(vectors, label=label))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_quotation_linking": op2_quotation_linking,
@@ -71,4 +87,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }

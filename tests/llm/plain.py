@@ -1,6 +1,8 @@
 """Plain versions of the operators for small inputs."""
 
+import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,3 +75,72 @@ def best_fit_count(lengths, capacity):
         else:
             room.append(capacity - n)
     return len(room)
+
+
+def damaged(rows):
+    """(conv_id, turn, role, text) rows with the faults their CRC-32 picks."""
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        name = ":".join(" " if x is None else str(x) for x in (conv, turn))
+        pick = zlib.crc32(name.encode()) % 20
+        text = "" if pick == 1 else re.sub("[.!?]", "", text) if pick == 2 else text
+        row = (conv, turn, "user" if pick == 4 else role, text)
+        yield from [] if pick == 0 else [row, row] if pick == 3 else [row]
+
+
+def repaired(rows):
+    """Counts, cost, audit and hash of one conversation's (turn, role, text) rows, by comparing all edits row by row."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    go = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    then, name = {0: 2, 1: 2, 2: 3, 3: 2}, {2: "user", 3: "assistant"}
+    seen, faults = set(), []
+    for _, role, text in rows:
+        body = text.strip(" \t\n\x0b\x0c\r")
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+
+    def relaxed(best):
+        for _ in range(3):
+            best = {q: min(b, (best[then[q]][0] + 5, "I" + best[then[q]][1])) for q, b in best.items()}
+        return best
+
+    best = relaxed({0: (0, ""), 1: (10**9, ""), 2: (10**9, ""), 3: (0, "")})
+    for (_, role, _), fault in reversed(list(zip(rows, faults, strict=True))):
+        new = {}
+        for q in range(4):
+            ways = [(2 + best[q][0], "D" + best[q][1])]
+            if fault not in ("blank", "duplicate"):
+                more = 5 * (fault == "truncated")
+                to = go.get((q, role[:1]))
+                if to is not None:
+                    ways.append((more + best[to][0], "K" + best[to][1]))
+                ways.append((1 + more + best[then[q]][0], "R" + best[then[q]][1]))
+            new[q] = min(ways)
+        best = relaxed(new)
+    cost, audit = best[0] if rows else (0, "")
+    state, left, said = 0, iter(rows), []
+    for edit in audit:
+        role, text = next(left)[1:] if edit != "I" else ("", "")
+        if edit == "D":
+            continue
+        state = go[state, role[:1]] if edit == "K" else then[state]
+        said.append(f"{role if edit == 'K' else name[state]}:{text}")
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    initials = "".join(role[:1] or "?" for _, role, _ in rows)
+    illegal = sum(initials[i : i + 2] not in ("su", "ua", "au") for i in range(len(initials) - 1))
+    counts = [faults.count(f) for f in ("blank", "duplicate", "truncated")]
+    return gaps, *counts, illegal, cost, audit, hashlib.sha256("\n".join(said).encode()).hexdigest()
+
+
+def hard_negatives(rows, per_anchor=5):
+    """(anchor, positive, rank, negative, scores) of (id, integer vector, label) rows, all compared with all."""
+    out = []
+    for a, x, y in rows:
+        if a % 100:
+            continue
+        scores = [(-sum(p * q for p, q in zip(x, v, strict=True)), b, z) for b, v, z in rows if b != a and len(v) == len(x)]
+        for s, p, _ in sorted(t for t in scores if t[2] == y)[:per_anchor]:
+            found = sorted(t for t in scores if t[2] != y and 80 * -s <= 100 * -t[0] <= 100 * -s)[:per_anchor]
+            out += [(a, p, n + 1, b, -s, -t) for n, (t, b, _) in enumerate(found)]
+    return out

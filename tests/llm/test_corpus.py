@@ -198,7 +198,7 @@ def test_same_rows_as_sql(spark, small, name):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and {*queries.QUERIES, "pipeline"} <= set(contract.queries())
+    assert numbers == list(range(1, 14)) and {*queries.QUERIES, "pipeline"} <= set(contract.queries())
 
 
 def test_pipeline(spark, small, given):
