@@ -113,31 +113,27 @@ def mark(
     found = settle(repeated_bits(rows.select(key.alias("digest")), "digest", bits), "repeated_bits")
     work = packed(rows, digest=key, length=rows[f"`{length}`"], ident=rows[f"`{ident}`"])
     work = maybe_repeated(work, "digest", found, bits)
+    order = F.struct((-F.col("length")).alias("l"), F.col("ident").isNull().alias("n"), F.col("ident").alias("i"))
+    equal = work.filter("maybe").groupBy("digest", order.alias("first")).agg(F.count(F.lit(1)).alias("rows"))
+    groups = equal.groupBy("digest").agg(F.sum("rows").alias("group_size"), F.min(F.struct("first", "rows")).alias("m")).filter("group_size > 1")
     groups = settle(
-        work.filter("maybe")
-        .groupBy("digest")
-        .agg(
-            F.count(F.lit(1)).alias("group_size"),
-            F.min(F.struct((-F.col("length")).alias("l"), F.col("ident").isNull().alias("n"), F.col("ident").alias("i"))).alias("first"),
-        )
-        .filter("group_size > 1")
-        .select("digest", "group_size", F.col("first.i").alias("keep_id"), (-F.col("first.l")).alias("keep_length")),
+        groups.select("digest", "group_size", F.col("m.first.i").alias("keep_id"), (-F.col("m.first.l")).alias("keep_length"), (F.col("m.rows") > 1).alias("tied")),
         "groups",
     )
     alone = work.filter("NOT maybe").select("row", F.col("ident").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     seen = work.filter("maybe").join(groups, "digest", "left")
-    won = F.col("group_size").isNull() | (F.col("ident").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length")))
     named = [
         "row",
         F.when(F.col("group_size").isNull(), F.col("ident")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
     ]
-    seen = seen.withColumn("won", won)
-    # Rows repeated whole would all win; one of them does. A winner has one row unless ids repeat.
+    won = F.col("group_size").isNull() | (F.col("ident").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length")))
+    seen = seen.withColumn("won", won).withColumn("tied", F.col("won") & F.coalesce("tied", F.lit(False)))
+    one = seen.filter("NOT tied").select(*named, F.col("won").alias("kept"))
+    # Only rows that repeat id and text would all win; one of them does.
     again = Window.partitionBy("digest").orderBy(F.lit(0))
-    winners = seen.filter("won").withColumn("rank", F.row_number().over(again)).select(*named, (F.col("rank") == 1).alias("kept"))
-    losers = seen.filter("NOT won").select(*named, F.lit(False).alias("kept"))
-    return unpacked(alone.unionByName(winners).unionByName(losers), rows.columns, ADDED)
+    ties = seen.filter("tied").withColumn("rank", F.row_number().over(again)).select(*named, (F.col("rank") == 1).alias("kept"))
+    return unpacked(alone.unionByName(one).unionByName(ties), rows.columns, ADDED)
 
 
 def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", **sizes: int) -> DataFrame:

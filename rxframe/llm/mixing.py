@@ -14,7 +14,7 @@ are never taken; an empty table gives an empty result; repeated rows are documen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,6 +61,10 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS)
     )
 
 
+def shuffle_key(seed: str, round_: Column, ident: Column) -> Column:
+    return F.md5(F.concat_ws("/", F.lit(seed), round_.cast("string"), F.coalesce(ident.cast("string"), F.lit(""))))
+
+
 def schedule(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
     """The mixed stream: a row for each document and round that is taken, with ``finish`` and its ``start`` in words.
 
@@ -72,8 +76,7 @@ def schedule(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS,
     # A source needs the rounds that reach its target, and the document after it.
     rounds = F.least(F.lit(repeats), F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))).cast("int") + 1)
     queue = queue.filter("size > 0").select("*", F.explode(F.sequence(F.lit(0), rounds - 1)).alias("round"))
-    key = F.md5(F.concat_ws("/", F.lit(seed), F.col("round"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    queue = queue.withColumn("key", key).withColumn(
+    queue = queue.withColumn("key", shuffle_key(seed, F.col("round"), F.col("doc_id"))).withColumn(
         "slice",
         F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * F.ceil(F.col("rows") / ROWS_PER_PART) / 16_777_216),
     )
@@ -85,7 +88,7 @@ def schedule(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS,
     order = ["finish", F.col("source").asc_nulls_last(), "round", "key", "size", "row_id"]
     queue = running(queue, [], "stretch", order, "size", "end")
     taken = queue.filter(F.col("end") <= F.lit(budget or 0))
-    return taken.select("row_id", "doc_id", "source", "round", "size", "finish", (F.col("end") - F.col("size")).alias("start"))
+    return taken.select("row_id", "doc_id", "source", "round", "key", "size", "finish", (F.col("end") - F.col("size")).alias("start"))
 
 
 def numbered(sized: DataFrame) -> DataFrame:
@@ -103,10 +106,17 @@ def mix(sized: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed
     )
 
 
-def apply(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """``docs`` as often as the mix takes them. Ids are taken as unique; rows that repeat one come as often as it."""
-    taken = schedule(numbered(sizes(docs, ident, text, source)), **how)
-    copies = taken.groupBy("doc_id").agg((F.max("round") + 1).alias("_copies")).select(F.col("doc_id").alias("_taken"), "_copies")
-    rows = packed(docs, _id=column(docs, ident, "long")).join(copies, F.col("_id").eqNullSafe(F.col("_taken")))
-    rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+def apply(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **how) -> DataFrame:
+    """``docs`` as often as the mix takes them. Ids are taken as unique; rows that repeat one come as often as it.
+
+    What a round takes of a source is a beginning of its shuffled order, so the last key of each round says for every
+    document how often it comes. The table of these has one row a source; no text moves to be counted or copied.
+    """
+    taken = schedule(numbered(sizes(docs, ident, text, source)), seed=seed, **how)
+    last = taken.groupBy(F.col("source").alias("_source"), "round").agg(F.max("key").alias("key"))
+    last = settle(last.groupBy("_source").agg(F.collect_list(F.struct("round", "key")).alias("_last")), "last_keys")
+    rows = packed(docs, _id=column(docs, ident, "long"), _from=column(docs, source, "string"), _said=F.coalesce(column(docs, text, "string").rlike(WORD), F.lit(False)))
+    rows = rows.filter("_said").join(last, F.col("_from").eqNullSafe(F.col("_source")))
+    copies = F.size(F.filter("_last", lambda x: shuffle_key(seed, x["round"], F.col("_id")) <= x["key"]))
+    rows = rows.withColumn("_copies", copies).filter("_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -6,13 +6,15 @@
    ``match`` of ``coordinates`` also share one of the ``coordinates - match + 1`` rarest pairs of each, so only
    these prefixes are posted; pairs that a single class has fill the prefix first and are never posted.
    Postings are split by length class, because sets of too different sizes cannot be similar.
-3. Merging skips inside a posting list: its most central class (highest sum of list lengths) is compared with the
-   others, and what it links needs no further comparison. Two members x, y that are still apart share at most
-   ``min(|x & c|, |y & c|)`` shingles of the centre c and those outside of c that they have in common. If the
-   first alone suffices they are compared; if they share outside shingles, these are the posting lists of the next
-   round; otherwise they cannot be similar. So nothing is lost and no list is expanded into all its pairs.
-   Once no more pairs are open than there are classes, or after ``rounds`` rounds, they are compared one by one.
-4. Every link is confirmed on full sets; documents get the smallest id of their component.
+3. Collisions are counted for candidates: each list's most central class (highest sum of list lengths) meets the others
+   of the list, equal coordinates are counted on the signatures, and pairs of at least ``match`` are retained.
+   Retained pairs are confirmed on full sets, the one with most collisions of each class first; pairs whose classes
+   are by then in one component are skipped.
+4. Lists whose members still are in several components are few. Their classes are cut into tiles of bounded size,
+   collisions are counted tile by tile, and pairs of ``match`` or more whose components are apart are confirmed; only
+   links that join components leave a task. While tiles would be sent more often than there are classes (twice), another
+   round of the next centres comes first. So no pair is ever a row that a centre or a link does not make, no list is
+   expanded into all its pairs, and nothing is lost by skipping.
 
 The only chance involved is a pair at the threshold matching on fewer than ``match`` coordinates; ``match`` is the
 greatest number for which that is less likely than ``MISS``, and more similar pairs miss far less often.
@@ -32,24 +34,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rxframe.llm import exact_dedup
-from rxframe.llm.common import column
+from rxframe.llm.common import column, packed, running
 from rxframe.llm.components import components
 from rxframe.session import settle
 
 COORDINATES = 64
 MISS = 1e-5
-ROUNDS = 6
 REMEMBERED = 300_000
-#: Shingles of centres that a task remembers.
-CENTER_SHINGLES = 1_000_000
+#: Shingles that a task remembers of one side of its pairs.
+HELD_SHINGLES = 1_000_000
+#: A tile holds about so many shingles, and at most so many sets.
+TILE_SHINGLES = 1 << 18
+TILE_SETS = 1024
 SEED = 20_240_501
 #: Odd multipliers that mix word hashes into shingle hashes.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype="u8")
-SIGNED = "doc_id long, n long, digest binary, sig array<long>"
-CHECKED = "a long, b long, na long, nb long, shared long, extra array<long>"
+SIGNED = "doc_id long, n long, digest binary, sig array<int>"
+COUNTED = "a long, b long, equal int"
+CHECKED = "a long, b long, similar boolean"
 
 _words: dict[bytes, int] = {}
 
@@ -87,15 +91,14 @@ class Signer:
         seeds = np.random.default_rng(SEED)
         self.factor = seeds.integers(0, 2**64, coordinates, dtype="u8") | np.uint64(1)
         self.shift = seeds.integers(0, 2**64, coordinates, dtype="u8")
-        self.place = np.arange(coordinates, dtype="i8") << 32
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
-        """The least 32-bit hash of each coordinate, with the coordinate in the upper bits."""
+        """The least 32-bit hash of each coordinate."""
         least = None
         for start in range(0, len(values), 2048):
             part = ((values[start : start + 2048, None] * self.factor + self.shift) >> np.uint64(32)).min(0)
             least = part if least is None else np.minimum(least, part)
-        return least.astype("i8") | self.place
+        return least.astype("u4").view("i4")
 
 
 def signatures(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 5, coordinates: int = COORDINATES) -> DataFrame:
@@ -110,7 +113,7 @@ def signatures(docs: DataFrame, ident: str = "doc_id", text: str = "text", width
                 n.append(len(values))
                 digest.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
                 sig.append(signer(values) if len(values) else None)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int64()))]
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "sig"])
 
     return docs.select(column(docs, ident, "long").alias("doc_id"), column(docs, text, "string").alias("text")).mapInArrow(sign, SIGNED)
@@ -130,7 +133,8 @@ def postings(classes: DataFrame, percent: int, coordinates: int = COORDINATES, m
     """Prefix postings ``list``, ``id``, ``n`` and ``weight``. ``classes`` has ``id``, ``n`` and ``sig``."""
     # A set of n shingles can only be similar to another of n - 1 or n + 1 if (n - 1) / n is enough.
     least = next(n for n in range(2, 202) if 100 * (n - 1) >= percent * n) - 1 if percent < 100 else 1 << 62
-    keys = classes.filter(F.col("n") >= least).select("id", "n", F.explode("sig").alias("key"))
+    keys = classes.filter(F.col("n") >= least).select("id", "n", F.posexplode("sig"))
+    keys = keys.select("id", "n", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col")).alias("key"))
     often = keys.groupBy("key").count().filter("count > 1").withColumnRenamed("key", "_key")
     shared = keys.join(often, F.col("key") == F.col("_key")).groupBy("id", "n").agg(
         F.sort_array(F.collect_set(F.struct("count", "key"))).alias("keys"), F.sum("count").alias("weight")
@@ -144,36 +148,43 @@ def postings(classes: DataFrame, percent: int, coordinates: int = COORDINATES, m
     return prefix.select(F.col("k.key").alias("x"), F.explode(F.array(size, size + 1)).alias("y"), "id", "n", "weight")
 
 
-def _similar(percent: int) -> str:
-    return f"100 * shared >= {percent} * (na + nb - shared)"
+def counted(pairs: DataFrame, classes: DataFrame, match: int) -> DataFrame:
+    """``a``, ``b`` and their ``equal`` coordinates, of the pairs that have at least ``match``."""
+
+    def count(batches):
+        for batch in batches:
+            one, two = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            equal = (one == two).sum(1).astype("i4")
+            kept = np.flatnonzero(equal >= match)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(kept)), batch.column("b").take(pa.array(kept)), pa.array(equal[kept])], ["a", "b", "equal"])
+
+    side = lambda c: classes.select(F.col("id").alias(f"_{c}"), F.col("sig").alias(f"s{c}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(count, COUNTED)
 
 
-def check(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Full sets of each pair ``a`` (centre), ``b`` compared: sizes, shared shingles, and those of ``b`` alone."""
+def check(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Whether the full sets of each pair are similar."""
 
     def compare(batches):
-        centers, held = {}, 0
+        held, size = {}, 0
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            out = []
             for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb").to_pylist(), strict=True):
-                center = centers.get(a)
-                if center is None:
-                    if held > CENTER_SHINGLES:
-                        centers, held = {}, 0
-                    center = centers[a] = shingles(ta.as_py(), width)
-                    held += len(center)
-                other = shingles(tb, width)
-                inside = np.isin(other, center, assume_unique=True)
-                for values, value in zip(rows, (len(center), len(other), int(inside.sum()), other[~inside].astype("i8")), strict=True):
-                    values.append(value)
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
-            arrays = [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *arrays], ["a", "b", "na", "nb", "shared", "extra"])
+                one = held.get(a)
+                if one is None:
+                    if size > HELD_SHINGLES:
+                        held, size = {}, 0
+                    one = held[a] = shingles(ta.as_py(), width)
+                    size += len(one)
+                two = shingles(tb, width)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                out.append(100 * shared >= percent * (len(one) + len(two) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "similar"])
 
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    both = pairs.join(right, "b").select("a", "b", "tb").join(left, "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(compare, CHECKED)
+    return pairs.join(right, "b").select("a", "b", "tb").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(compare, CHECKED)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, ident: str, text: str) -> DataFrame:
@@ -183,68 +194,154 @@ def texts_of(docs: DataFrame, ids: DataFrame, ident: str, text: str) -> DataFram
     return likely.join(ids.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_semi")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """All checked pairs, stored, and the links among them."""
-    checked = settle(check(pairs.distinct(), texts, width), "checked")
-    return checked, checked.filter(_similar(percent)).select("a", "b")
+def _apart(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``pairs`` whose ends are in different components."""
+    if groups is None:
+        return pairs
+    side = lambda c: groups.select(F.col("id").alias(f"_{c}"), F.col("component").alias(f"c{c}"))
+    met = pairs.join(side("a"), F.col("a") == F.col("_a"), "left").join(side("b"), F.col("b") == F.col("_b"), "left")
+    return met.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+
+class Links:
+    """Confirmed links and the components they make."""
+
+    def __init__(self, classes: DataFrame, texts: DataFrame, percent: int, width: int, match: int):
+        self.classes, self.texts, self.percent, self.width, self.match = classes, texts, percent, width, match
+        self.groups: DataFrame | None = None
+
+    def _confirm(self, pairs: DataFrame) -> None:
+        checked = check(pairs.select("a", "b"), self.texts, self.width, self.percent)
+        self.join(checked.filter("similar").select("a", "b"))
+
+    def join(self, found: DataFrame) -> None:
+        """Take confirmed links in."""
+        found = settle(found, "found")
+        if self.groups is None:
+            self.groups = components(found)
+            return
+        if found.isEmpty():
+            return
+        # Links inside one component say nothing new, so those found before go in as the components they made.
+        known = self.groups.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        self.groups = components(known.unionByName(found))
+
+    def add(self, pairs: DataFrame) -> None:
+        """Count collisions of new ``pairs``, confirm the best of each class, then those still between components."""
+        kept = settle(counted(_apart(pairs, self.groups).distinct(), self.classes, self.match), "counted")
+        best = kept.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+        self._confirm(best)
+        rest = settle(_apart(kept, self.groups).join(best.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "rest")
+        if not rest.isEmpty():
+            self._confirm(rest)
+
+    def component(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the ``component`` of their ``id``."""
+        side = self.groups.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
+        rows = rows.drop("component").join(side, F.col("id") == F.col("_id"), "left")
+        return rows.withColumn("component", F.coalesce("_component", "id")).drop("_id", "_component")
+
+
+def mixed(post: DataFrame) -> DataFrame:
+    """The postings of lists that hold several components."""
+    lists = post.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    lists = lists.filter("low != high").select("_x", "_y")
+    return post.join(lists, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).drop("_x", "_y")
+
+
+def tiles(post: DataFrame, classes: DataFrame, tile_shingles: int, tile_sets: int) -> tuple[DataFrame, DataFrame]:
+    """``id``, ``component``, ``bundle`` and ``slot`` of the classes in ``post``; and the pairs of slots whose sizes can meet.
+
+    Classes that share a list, directly or through others, are a bundle; inside it they are cut into slots by size.
+    """
+    low = post.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min("id").alias("low"))
+    bundles = components(post.join(low, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))), "low", "id")
+    sizes = post.select("id", "component").distinct().join(classes.select(F.col("id").alias("_id"), "n"), F.col("id") == F.col("_id")).drop("_id")
+    rows = sizes.join(bundles.select(F.col("id").alias("_id"), F.col("component").alias("bundle")), F.col("id") == F.col("_id")).drop("_id")
+    # Every set costs at least its share of the places of a tile.
+    rows = rows.withColumn("cost", F.greatest("n", F.lit(tile_shingles // tile_sets))).withColumn("part", F.floor(F.log("n") * 4))
+    rows = running(settle(rows, "bundles"), ["bundle"], "part", ["n", "id"], "cost", "upto")
+    rows = settle(rows.withColumn("slot", F.expr(f"(upto - cost) div {tile_shingles}")).select("id", "component", "bundle", "slot", "n"), "slots")
+    ends = rows.groupBy("bundle", "slot").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    return rows, ends
 
 
-def linked(post: DataFrame, texts: DataFrame, percent: int, width: int, few: int, rounds: int = ROUNDS) -> DataFrame:
-    """``id`` and ``component`` of everything linked within the lists of ``post``.
+def tile_pairs(ends: DataFrame, percent: int) -> DataFrame:
+    other = ends.select(F.col("bundle").alias("_bundle"), F.col("slot").alias("j"), F.col("least").alias("_least"))
+    met = ends.join(other, (F.col("bundle") == F.col("_bundle")) & (F.col("slot") <= F.col("j")) & (100 * F.col("most") >= percent * F.col("_least")))
+    return met.select("bundle", F.col("slot").alias("i"), "j")
 
-    When no more than ``few`` pairs are open, they are compared directly.
+
+def compare_tiles(rows: DataFrame, pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, match: int) -> DataFrame:
+    """Links ``a``, ``b`` between the components of the classes in each pair of tiles.
+
+    Collisions are counted for the whole tile at once; of those that reach ``match``, only pairs whose components are
+    still apart are compared, and only links that join two components leave the task.
     """
-    total: DataFrame | None = None
-    for turn in range(rounds):
-        centers = post.groupBy("x", "y").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("c"), F.count(F.lit(1)).alias("m"))
-        centers = settle(centers.filter("m > 1").select(F.col("x").alias("_x"), F.col("y").alias("_y"), (-F.col("c.i")).alias("a")), "centers")
-        stars = post.join(centers, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).filter("a != id")
-        checked, found = _compared(stars.select("a", F.col("id").alias("b")), texts, percent, width)
-        total = found if total is None else total.unionByName(found)
-        groups = components(total)
-        stars = apart(checked, groups, percent)
-        direct, post, n_open = still_open(stars, percent)
-        if n_open <= few or turn == rounds - 1:
-            other = post.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("id").alias("b"), F.col("component").alias("cb"))
-            rest = post.join(other, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")))
-            direct = direct.unionByName(rest.select(F.col("id").alias("a"), "b"))
-        _, found = _compared(direct, texts, percent, width)
-        total = total.unionByName(found)
-        if n_open <= few:
-            break
-    return groups if found.isEmpty() else components(total)
-
-
-def apart(checked: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Checked pairs of centres whose members are in several components: with component ``cb`` and the ``least`` size."""
-    side = lambda c: groups.select(F.col("id").alias(f"_{c}"), F.col("component").alias(f"c{c}"))
-    stars = checked.join(side("b"), F.col("b") == F.col("_b"), "left").join(side("a"), F.col("a") == F.col("_a"), "left")
-    stars = stars.select("a", "b", "na", "nb", "shared", "extra", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    mixed = stars.groupBy("a").agg(F.min("cb").alias("low"), F.max("cb").alias("high"), F.min("nb").alias("least")).filter("low != high")
-    mixed = settle(mixed.select(F.col("a").alias("_s"), "least"), "mixed")
-    return settle(stars.join(mixed, F.col("a") == F.col("_s")).drop("_s", "ca"), "stars")
-
-
-def still_open(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int]:
-    """Pairs to compare, posting lists of outside shingles, and how many pairs these lists hold."""
-    # Outside shingles that members of several components share.
-    outside = stars.select("a", "b", "nb", "shared", "least", "cb", F.explode("extra").alias("s"))
-    lists = outside.groupBy("a", "s").agg(F.min("cb").alias("low"), F.max("cb").alias("high"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    lists = settle(lists.select(F.col("a").alias("_a"), F.col("s").alias("_s"), (F.col("low") != F.col("high")).alias("apart")), "lists")
-    common = outside.join(lists, (F.col("a") == F.col("_a")) & (F.col("s") == F.col("_s")))
-    # A member has no more rows here than it has shingles outside of its centre.
-    more = F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
-    reach = f"apart AND {100 + percent} * (shared + more) >= {percent} * (nb + least)"
-    can = common.withColumn("more", more).filter(reach)
-    post = settle(can.select(F.col("a").alias("x"), F.col("s").alias("y"), F.col("b").alias("id"), F.col("more").alias("weight"), F.col("cb").alias("component")), "postings")
-    n_open = post.groupBy("x", "y").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] or 0
-    # Pairs that what they share with the centre makes similar by itself.
-    inside = stars.filter(f"{100 + percent} * shared >= {percent} * (nb + least)").select("a", "b", "nb", "shared", "cb", F.expr(_similar(percent)).alias("near"))
-    one, two = inside.filter("NOT near").alias("one"), inside.alias("two")
-    close = one.join(two, F.col("one.a") == F.col("two.a")).filter("one.cb != two.cb").filter(
-        f"{100 + percent} * least(one.shared, two.shared) >= {percent} * (one.nb + two.nb)"
-    )
-    return close.select(F.least("one.b", "two.b").alias("a"), F.greatest("one.b", "two.b").alias("b")), post, n_open
+    rows = rows.drop("n").join(classes.select(F.col("id").alias("_id"), "sig"), F.col("id") == F.col("_id")).drop("_id")
+    rows = settle(rows.join(texts.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id"), "tiles")
+    sides = pairs.select("bundle", F.col("i").alias("slot"), "i", "j").unionByName(pairs.filter("i < j").select("bundle", F.col("j").alias("slot"), "i", "j"))
+    sides = sides.select(F.col("bundle").alias("_bundle"), F.col("slot").alias("_slot"), "i", "j")
+    sent = rows.join(sides, (F.col("bundle") == F.col("_bundle")) & (F.col("slot") == F.col("_slot"))).drop("_bundle", "_slot")
+
+    def compare(table: pa.Table) -> pa.Table:
+        slot, ids, component = (table.column(c).to_numpy() for c in ("slot", "id", "component"))
+        second = np.flatnonzero(slot == table.column("j")[0].as_py())
+        first = np.flatnonzero(slot == table.column("i")[0].as_py())
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        sets = [shingles(t, width) for t in table.column("text").to_pylist()]
+        n = np.fromiter(map(len, sets), "i8", len(sets))
+        vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(n)
+        code, begin = code.astype("i4"), ends - n
+        mark = np.zeros(len(vocabulary), "u1")
+        root = component.copy()
+        out: list[tuple[int, int]] = []
+        for a in first:
+            others = second[second > a] if len(first) == len(second) and first[0] == second[0] else second
+            others = others[root[others] != root[a]]
+            if not len(others):
+                continue
+            equal = (sig[others] == sig[a]).sum(1)
+            others = others[equal >= match]
+            others = others[100 * np.minimum(n[others], n[a]) >= percent * np.maximum(n[others], n[a])]
+            if not len(others):
+                continue
+            mark[code[begin[a] : ends[a]]] = 1
+            for start in range(0, len(others), 256):
+                some = others[start : start + 256]
+                lengths = n[some]
+                upto = np.cumsum(lengths)
+                at = np.repeat(begin[some] - (upto - lengths), lengths) + np.arange(upto[-1])
+                shared = np.add.reduceat(mark[code[at]].astype("i8"), upto - lengths)
+                for b in some[100 * shared >= percent * (n[some] + n[a] - shared)]:
+                    if root[a] != root[b]:
+                        out.append((int(ids[a]), int(ids[b])))
+                        root[root == root[b]] = root[a]
+            mark[code[begin[a] : ends[a]]] = 0
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return sent.groupBy("bundle", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def linked(post: DataFrame, links: Links, few: int, tile_shingles: int = TILE_SHINGLES, tile_sets: int = TILE_SETS) -> DataFrame:
+    """``id`` and ``component`` of everything linked within the lists of ``post``."""
+    while True:
+        centers = post.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("c"), F.count(F.lit(1)).alias("m"))
+        centers = centers.filter("m > 1").select("_x", "_y", (-F.col("c.i")).alias("a"))
+        stars = settle(post.join(centers, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).drop("_x", "_y"), "stars").filter("a != id")
+        links.add(stars.select("a", F.col("id").alias("b")))
+        post = settle(mixed(links.component(stars.drop("a"))), "mixed")
+        if post.isEmpty():
+            return links.groups
+        rows, ends = tiles(post, links.classes, tile_shingles, tile_sets)
+        pairs = settle(tile_pairs(settle(ends, "ends"), links.percent), "pairs")
+        per_tile = rows.groupBy("bundle", "slot").count()
+        used = pairs.select("bundle", "i").union(pairs.filter("i < j").select("bundle", "j")).withColumnsRenamed({"bundle": "_bundle", "i": "_slot"})
+        sent = per_tile.join(used, (F.col("bundle") == F.col("_bundle")) & (F.col("slot") == F.col("_slot"))).agg(F.sum("count")).first()[0]
+        if sent <= 2 * few:
+            links.join(compare_tiles(rows, pairs, links.classes, links.texts, links.width, links.percent, links.match))
+            return links.groups
 
 
 def near_duplicates(
@@ -261,9 +358,10 @@ def near_duplicates(
     full = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = settle(classes, "classes")
-    post = settle(postings(classes, percent, coordinates, matches(percent, coordinates, miss)), "postings")
+    match = matches(percent, coordinates, miss)
+    post = settle(postings(classes, percent, coordinates, match), "postings")
     texts = settle(texts_of(docs, post.select("id").distinct(), ident, text), "texts")
-    groups = linked(post, texts, percent, width, few=classes.count())
+    groups = linked(post, Links(classes, texts, percent, width, match), few=classes.count())
     groups = groups.withColumnRenamed("id", "_id")
     ids = classes.select(F.col("digest").alias("_digest"), "id").join(groups, F.col("id") == F.col("_id"), "left")
     ids = settle(ids.select("_digest", F.coalesce("component", "id").alias("component_id")), "members")
@@ -274,5 +372,6 @@ def near_duplicates(
 
 def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One document of each component, with the columns of ``docs``; documents of an id that goes are dropped whole."""
-    gone = near_duplicates(docs, ident, text, **how).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, column(docs, ident, "long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, ident, text, **how).filter("NOT kept").select("doc_id").distinct()
+    rows = packed(docs, id=column(docs, ident, "long"))
+    return rows.join(gone, F.col("id") == F.col("doc_id"), "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])

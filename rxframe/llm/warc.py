@@ -37,6 +37,8 @@ SHARD_BYTES = 64 << 20
 ROLL_BYTES = 16 << 20
 SAMPLE_PER_SHARD = 50
 MAX_SAMPLE = 2_000_000
+#: About what headers add to a payload.
+RECORD_BYTES = 600
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -112,8 +114,8 @@ def records(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
 
 
 def borders(rows: DataFrame, shard_bytes: int) -> np.ndarray:
-    """Page ids at which a new shard begins: quantiles of a sample that depends on the ids alone."""
-    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.length("payload"))).first()
+    """Page ids at which a new shard begins: quantiles by bytes of a sample that depends on the ids alone."""
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.length("payload").cast("long"))).first()
     shards = max(1, -(-(total or 0) // shard_bytes))
     if shards == 1:
         return np.array([], dtype="i8")
@@ -121,8 +123,11 @@ def borders(rows: DataFrame, shard_bytes: int) -> np.ndarray:
     chosen = rows.filter(F.col("page_id").isNotNull()).filter(
         F.shiftrightunsigned(F.xxhash64("page_id"), 32) < int(share * 2**32)
     )
-    ids = np.sort(np.array([r[0] for r in chosen.select("page_id").collect()], dtype="i8"))
-    return np.unique(ids[np.arange(1, shards) * len(ids) // shards]) if len(ids) else ids
+    found = np.array([tuple(r) for r in chosen.select("page_id", F.length("payload") + RECORD_BYTES).collect()], dtype="i8").reshape(-1, 2)
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    before = np.cumsum(found[:, 1]) - found[:, 1]
+    parts = np.arange(1, shards) * (found[:, 1].sum() / shards)
+    return np.unique(found[np.searchsorted(before, parts, "right") - 1, 0]) if len(found) else found[:, 0]
 
 
 def write(
@@ -148,9 +153,11 @@ def write(
     # Ids beyond 2**53 would be rounded where a batch holds a null, so nulls never reach the function.
     shard = F.when(F.col("page_id").isNull(), F.lit(len(at)).cast("long")).otherwise(shard_of(F.coalesce("page_id", F.lit(0))))
 
+    job = uuid.uuid4().hex
+
     def store(batches):
         fs, path = filesystem(root)
-        attempt = uuid.uuid4().hex
+        attempt = f"{job}-{uuid.uuid4().hex}"
         fs.create_dir(f"{path}/_temporary", recursive=True)
         done: list[tuple] = []
         state: dict = {"shard": None}
@@ -170,7 +177,7 @@ def write(
             close()
             name = f"{prefix}-{shard:06d}-{part:04d}.warc.gz"
             state.update(shard=shard, part=part, name=name, temp=f"_temporary/{attempt}-{name}", bytes=0, records=0, sum=hashlib.sha256())
-            state["file"] = fs.open_output_stream(f"{path}/{state['temp']}")
+            state["file"] = fs.open_output_stream(f"{path}/{state['temp']}", compression=None)
             info = f"format: WARC File Format 1.1\r\nisPartOf: {prefix}\r\n".encode()
             put(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, "", "warcinfo")), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], info))
 
@@ -194,11 +201,11 @@ def write(
         .repartitionById(len(at) + 1, F.col("shard").cast("int"))
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "revisit", "payload")
     )
-    return commit(settle(sorted_rows.mapInArrow(store, WRITTEN), "written"), root)
+    return commit(settle(sorted_rows.mapInArrow(store, WRITTEN), "written"), root, job)
 
 
-def commit(written: DataFrame, root: str) -> DataFrame:
-    """Give the files their names, then write the manifest that makes them count."""
+def commit(written: DataFrame, root: str, job: str | None = None) -> DataFrame:
+    """Give the files their names, then write the manifest that makes them count, then remove what ``job`` left."""
 
     def rename(batches):
         fs, path = filesystem(root)
@@ -214,11 +221,30 @@ def commit(written: DataFrame, root: str) -> DataFrame:
     spark = written.sparkSession
     written.mapInArrow(rename, WRITTEN).drop("temp").write.mode("overwrite").parquet(f"{root}/manifest")
     fs, path = filesystem(root)
-    if fs.get_file_info(f"{path}/_temporary").type == afs.FileType.Directory:
-        fs.delete_dir(f"{path}/_temporary")  # what lost attempts left
+    if job and fs.get_file_info(f"{path}/_temporary").type == afs.FileType.Directory:
+        # Lost attempts of this job; files of other writers stay.
+        left = fs.get_file_info(afs.FileSelector(f"{path}/_temporary"))
+        own = [f for f in left if f.base_name.startswith(job)]
+        for f in own:
+            fs.delete_file(f.path)
+        if len(own) == len(left):
+            fs.delete_dir(f"{path}/_temporary")
     return spark.read.schema(WRITTEN).parquet(f"{root}/manifest").drop("temp")
 
 
+class Summed:
+    """A stream that counts and hashes what is read."""
+
+    def __init__(self, stream):
+        self.stream, self.bytes, self.sum = stream, 0, hashlib.sha256()
+
+    def read(self, size: int) -> bytes:
+        data = self.stream.read(size)
+        self.bytes += len(data)
+        self.sum.update(data)
+        return data
+
+
 def members(stream, size: int = 1 << 20) -> Iterator[bytes]:
     """The decompressed gzip members of a stream, one at a time."""
     data, unpack, out = b"", zlib.decompressobj(31), []
@@ -245,7 +271,7 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read(spark: SparkSession, root: str, with_payload: bool = False) -> DataFrame:
-    """The page records of all files of the manifest; digests are checked, sizes and digests are of whole payloads."""
+    """The page records of all files of the manifest; files, blocks and payloads are checked against their digests, sizes and digests are of whole payloads."""
     manifest = spark.read.schema(WRITTEN).parquet(f"{root}/manifest").select("name", "bytes", "sha256")
     n = manifest.count()
 
@@ -260,10 +286,11 @@ def read(spark: SparkSession, root: str, with_payload: bool = False) -> DataFram
             return pa.RecordBatch.from_arrays(arrays[: 9 + with_payload], names[: 9 + with_payload])
 
         for batch in batches:
-            for name in batch.column("name").to_pylist():
+            for name, size, digest_ in zip(*(batch.column(c).to_pylist() for c in ("name", "bytes", "sha256")), strict=True):
                 rows, held = [], 0
-                with fs.open_input_stream(f"{path}/{name}") as stream:
-                    for raw in members(stream):
+                with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
+                    summed = Summed(stream)
+                    for raw in members(summed):
                         h, block = parse(raw)
                         if h["WARC-Type"] == "warcinfo":
                             continue
@@ -280,6 +307,8 @@ def read(spark: SparkSession, root: str, with_payload: bool = False) -> DataFram
                         if held > 8 << 20:
                             yield out(rows)
                             rows, held = [], 0
+                if (summed.bytes, summed.sum.hexdigest()) != (size, digest_):
+                    raise ValueError(f"{name}: the file differs from its manifest")
                 yield out(rows)
 
     schema = READ + ", payload binary" * with_payload

@@ -82,6 +82,30 @@ def test_near_duplicates_match_all_pairs(documents, width, percent):
     assert all(x.kept == (x.doc_id == x.component_id) for x in found) and len(set(expected.values())) < len(rows) - 100
 
 
+@pytest.mark.parametrize("few,shingles,sets", [(10**9, 300, 4), (0, 1 << 18, 1024)])
+def test_open_lists_in_tiles_or_rounds(spark, documents, few, shingles, sets):
+    """Many tiles of one bundle, and centres alone until nothing is open: the same components."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(3000)}" for _ in range(80)]
+    rows = [(i, edited(r, base[: 80 - i % 5], r.randrange(5))) for i in range(70 if few else 8)]
+    docs = documents(rows)
+    match = near_dedup.matches(85)
+    classes = near_dedup.signatures(docs, width=3).withColumnRenamed("doc_id", "id").cache()
+    texts = docs.select(near_dedup.F.col("doc_id").alias("id"), "text")
+    post = near_dedup.postings(classes, 85, match=match).cache()
+    links = near_dedup.Links(classes, texts, 85, 3, match)
+    found = {x.id: x.component for x in near_dedup.linked(post, links, few, shingles, sets).collect()}
+    _, expected = plain.near_components(dict(rows), 3, 85)
+    assert {i: found.get(i, i) for i in expected} == expected and 1 < len(set(expected.values())) < len(rows)
+
+
+def test_near_duplicates_clashing_columns(spark):
+    text = " ".join(f"x{i}" for i in range(30))
+    rows = [(1, text, 5, "a", 7), (2, text + " y", 6, "b", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int, id string, row int")
+    assert [tuple(x) for x in near_dedup.dedup(docs).collect()] == rows[:1]
+
+
 def test_near_duplicates_odd_rows(documents):
     text = " ".join(f"x{i}" for i in range(30))
     rows = [(None, text), (None, text), (1, text), (2, text + " y"), (2, text + " y"), (3, None)]
