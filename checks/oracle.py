@@ -407,6 +407,12 @@ oracle(
     sql="""SELECT pipeline_run_id, line_id, rejection_reason FROM checked
       WHERE rejection_reason IS NOT NULL""",
 )
+oracle(
+    "retried_quarantine",
+    "checked",
+    sql="""SELECT pipeline_run_id, line_id, rejection_reason FROM checked
+      WHERE rejection_reason IS NOT NULL""",
+)
 oracle("gold_upsert", "matched", sql="SELECT * FROM matched")
 oracle(
     "serving_snapshot",
@@ -780,3 +786,4 @@ ORACLE["quota_admission"] = """WITH RECURSIVE e AS (
     FROM (SELECT e.*, list_filter(r.recent, lambda x: x >= e.moment - 86400000000) AS live
       FROM r JOIN e ON e.client = r.client AND e.rn = r.rn + 1))
   SELECT event_id, client, admitted FROM r"""
+ORACLE["quota_stream"] = ORACLE["quota_admission"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from rxframe.sinks import upsert as U
 from rxframe.sinks.layers import Layers, flat_metrics
 from rxframe.sources import catalogue, landing, stores
 from rxframe.streaming import ingest
+from rxframe.streaming import quota as quota_stream_form
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DAY = "yyyy-MM-dd"
@@ -303,6 +305,31 @@ def incremental_refine(spark, d):
     return layers.read(spark, "silver").select(*LINE_COLUMNS)
 
 
+@query
+def retried_quarantine(spark, d):
+    """Rejections of a micro-batch that fails after its appends and is run again: each once."""
+    layers = _layers(spark)
+    layers.append_bronze(X.captures(spark, d))
+    items = session.settle(X.products(spark, d))
+    lost = []
+
+    def fail_once(number):
+        lost.append(number)
+        if len(lost) == 1:
+            raise RuntimeError("lost on purpose")
+
+    for _ in range(2):
+        try:
+            ingest.refine_new_captures(
+                spark, layers, items, f"{layers.root}/checkpoint", "edit", X.processed_at(), after=fail_once
+            ).awaitTermination()
+        except StreamingQueryException as error:
+            if "lost on purpose" not in str(error):
+                raise
+    rejected = layers.read(spark, "quarantine")
+    return rejected.select("pipeline_run_id", "line_id", "rejection_reason")
+
+
 @query
 def backfill_window(spark, d):
     """Only the captures of one date window are refined."""
@@ -784,3 +811,20 @@ def quota_admission(spark, d):
     return quota.admissions(X.access_log(spark, d), 2, 86_400).select(
         "event_id", "client", "admitted"
     )
+
+
+@query
+def quota_stream(spark, d):
+    """The same on a stream that gets the log in four parts, one after another in time."""
+    root = session.scratch_root(spark)
+    log = session.settle(X.access_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp")))
+    first, last = log.select(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return quota.admissions(log, 2, 86_400).select("event_id", "client", "admitted")
+    part = F.least(F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) * 4 / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1)), F.lit(3))
+    for number in range(4):
+        log.filter(part == number).write.mode("append").parquet(f"{root}/log")
+        arriving = spark.readStream.schema(log.schema).parquet(f"{root}/log")
+        writer = quota_stream_form.admissions(arriving, 2, 86_400).writeStream.format("parquet").option("path", f"{root}/out")
+        writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "client", "admitted")

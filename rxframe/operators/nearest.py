@@ -1,4 +1,4 @@
-"""Pincode look-up and exact nearest stores on a grid pyramid."""
+"""Pincode look-up and exact nearest stores on a pyramid of cells around the sphere."""
 
 from __future__ import annotations
 
@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from rxframe import constants as K
 from rxframe.functions import geo, text
+from rxframe.session import settle
 
-BASE_CELL = 0.01  # degrees
-LEVELS = 9  # cells of 0.01 .. 2.56 degrees; level 9 means every store
-EVERYWHERE = LEVELS
-# Two points of a 3 x 3 block of cells are at most sqrt(8) cells apart; 1% covers the curvature.
-REACH = 2.86
-MAX_LAT = 60.0
+#: Edge of the finest cells on the unit sphere (about 1.3 km) and how many finer cells an edge of a coarser one holds.
+EDGE = 2e-4
+SHIFT = 2
+#: Cells of this level are the coarsest; the sphere's whole cube, one level up, has at most 27 of them.
+TOP = 6
+#: More than rounding can change in a distance on the unit sphere (0.06 mm).
+SLACK = 1e-11
 
 
 def resolve_pincodes(requests: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -28,32 +30,49 @@ def store_centroids(stores: DataFrame) -> DataFrame:
     ).select("pincode", "s.lat", "s.lng")
 
 
-def _size(level: Column) -> Column:
-    return F.lit(BASE_CELL) * F.pow(F.lit(2.0), level)
+def _on_sphere(rows: DataFrame) -> DataFrame:
+    """``rows`` with the point ``x``, ``y``, ``z`` of ``lat`` and ``lng`` on the unit sphere."""
+    lat, lng = F.radians("lat"), F.radians("lng")
+    return rows.withColumns({"x": F.cos(lat) * F.cos(lng), "y": F.cos(lat) * F.sin(lng), "z": F.sin(lat)})
 
 
-def _cell(degrees: Column, level: Column) -> Column:
-    return F.floor(degrees / _size(level)).cast("int")
+def _cell(level: int) -> Column:
+    """The cell of ``x``, ``y``, ``z`` on a level: cubes of the space around the sphere, so poles and date line are no borders."""
+    axes = [F.shiftright(F.floor((F.col(c) + 1) / EDGE).cast("long"), SHIFT * level) for c in "xyz"]
+    return F.shiftleft(axes[0], 28) + F.shiftleft(axes[1], 14) + axes[2]
 
 
-def _levels(rows: DataFrame) -> DataFrame:
-    """Each row once per level with its cell."""
-    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
-    return rows.select("*", level).withColumns(
-        {"cx": _cell(F.col("lat"), F.col("level")), "cy": _cell(F.col("lng"), F.col("level"))}
+def _cells(points: DataFrame, level: int) -> DataFrame:
+    """``parent`` and ``cell`` of a level, how many ``points`` it holds and the box around them."""
+    box = {f"{end}_{c}": getattr(F, end)(c) for c in "xyz" for end in ("min", "max")}
+    return points.groupBy(_cell(level + 1).alias("parent"), _cell(level).alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in box.items()]
     )
 
 
-def _around(rows: DataFrame, reach_x: Column, reach_y: Column) -> DataFrame:
-    """Move each row to every cell within the given reach."""
-    xs = F.explode(F.sequence(F.col("cx") - reach_x, F.col("cx") + reach_x)).alias("cx")
-    ys = F.explode(F.sequence(F.col("cy") - reach_y, F.col("cy") + reach_y)).alias("cy")
-    rest = [c for c in rows.columns if c not in ("cx", "cy")]
-    return rows.select(*rest, "cy", xs, reach_y.alias("_ry")).select(
-        *rest,
-        "cx",
-        F.explode(F.sequence(F.col("cy") - F.col("_ry"), F.col("cy") + F.col("_ry"))).alias("cy"),
-    )
+def _narrowed(spots: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """Each spot with the finest ``cell``s that can hold one of its ``k`` nearest points.
+
+    From the coarsest level down, cells are replaced by the cells inside. Cells in order of their greatest distance hold k
+    points up to some distance, and only cells whose least distance is not beyond it go on. So a spot keeps a handful of
+    cells on each level wherever it is, and no key stands for all points.
+    """
+    held = _on_sphere(spots).withColumn("cell", F.lit(0).cast("long"))
+    for level in range(TOP, -1, -1):
+        inside = _cells(points, level).withColumnRenamed("cell", "_cell")
+        met = held.join(inside, F.col("cell") == F.col("parent")).drop("cell")
+        near, far = F.lit(0.0), F.lit(0.0)
+        for c in "xyz":
+            below, above = F.col(f"min_{c}") - F.col(c), F.col(c) - F.col(f"max_{c}")
+            near = near + F.pow(F.greatest(below, above, F.lit(0.0)), 2.0)
+            far = far + F.pow(F.greatest(F.abs(below), F.abs(above)), 2.0)
+        met = met.select("lat", "lng", "x", "y", "z", F.col("_cell").alias("cell"), "n", F.sqrt(near).alias("near"), F.sqrt(far).alias("far"))
+        spot = Window.partitionBy("lat", "lng")
+        upto = F.sum("n").over(spot.orderBy("far", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        bound = F.min(F.when(F.col("upto") >= k, F.col("far"))).over(spot)
+        met = met.withColumn("upto", upto).withColumn("bound", F.coalesce(bound, F.lit(4.0)))
+        held = met.filter(F.col("near") <= F.col("bound") + SLACK).select("lat", "lng", "x", "y", "z", "cell")
+    return held.select("lat", "lng", "cell")
 
 
 def nearest_stores(
@@ -61,66 +80,26 @@ def nearest_stores(
     stores: DataFrame,
     k: int = 10,
     chain: str = "",
+    keep=settle,
 ) -> DataFrame:
     """The ``k`` (1..25) nearest stores of each probe, distance to one decimal.
 
-    A probe looks for the finest level whose 3 x 3 cells around it hold k stores, which bounds the
-    k-th distance, and compares only stores in the cells within that bound. Probes far from every
-    store, near the poles or the date line compare all store places. Equal coordinates are handled
-    once on both sides, and a place keeps its k first codes.
+    Probes descend a pyramid of cells around the sphere (see ``_narrowed``) and compare only the stores of the finest cells
+    that are left. Equal coordinates are handled once on both sides, and a place keeps its k first codes.
     """
     k = min(max(k, 1), K.NEAREST_MAX)
     at_place = F.row_number().over(Window.partitionBy("lat", "lng").orderBy("code"))
-    places = (
-        stores.select("code", "lat", "lng")
-        .withColumn("_rank", at_place)
-        .filter(F.col("_rank") <= k)
-        .drop("_rank")
-    )
-    on_levels = _levels(places)
-    counts = on_levels.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-    enough = (
-        _around(counts, F.lit(1), F.lit(1))
-        .groupBy("level", "cx", "cy")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= k)
-        .select("level", "cx", "cy")
-    )
-    spots = probes.select("lat", "lng").distinct()
-    chosen = (
-        _levels(spots)
-        .join(enough, ["level", "cx", "cy"])
-        .groupBy("lat", "lng")
-        .agg(F.min("level").alias("level"))
-    )
-    size = _size(F.col("level"))
-    wide = F.degrees(F.asin(F.sin(F.radians(size * REACH)) / F.cos(F.radians(F.col("lat")))))
-    searched = spots.join(chosen, ["lat", "lng"], "left")
-    simple = (F.abs("lat") <= MAX_LAT) & (F.abs("lng") + F.coalesce(wide, F.lit(0.0)) < 180)
-    searched = searched.withColumn(
-        "level", F.when(simple, F.col("level")).otherwise(F.lit(None).cast("int"))
-    ).withColumn("level", F.coalesce("level", F.lit(EVERYWHERE)))
-    everywhere = F.col("level") == EVERYWHERE
-    keyed = searched.withColumns(
-        {
-            "cx": F.when(everywhere, 0).otherwise(_cell(F.col("lat"), F.col("level"))),
-            "cy": F.when(everywhere, 0).otherwise(_cell(F.col("lng"), F.col("level"))),
-        }
-    )
-    reach_x = F.when(everywhere, 0).otherwise(int(REACH) + 1)
-    reach_y = F.when(everywhere, 0).otherwise(F.floor(wide / size).cast("int") + 1)
-    cells = _around(keyed, reach_x, reach_y)
-    targets = on_levels.unionByName(
-        places.select(
-            "*", F.lit(EVERYWHERE).alias("level"), F.lit(0).alias("cx"), F.lit(0).alias("cy")
-        )
-    ).select(
-        "level", "cx", "cy", "code", F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng")
+    places = keep(
+        _on_sphere(stores.select("code", "lat", "lng").withColumn("_rank", at_place).filter(F.col("_rank") <= k).drop("_rank")),
+        "places",
     )
+    spots = probes.select("lat", "lng").distinct().filter("lat IS NOT NULL AND lng IS NOT NULL")
+    cells = _narrowed(spots, places, k)
+    targets = places.select(_cell(0).alias("cell"), "code", F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
     km = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("s_lat"), F.col("s_lng"))
     by_distance = Window.partitionBy("lat", "lng").orderBy("km", "code")
     best = (
-        cells.join(targets, ["level", "cx", "cy"])
+        cells.join(targets, "cell")
         .select("lat", "lng", "code", F.round(km, 9).alias("km"))
         .withColumn("rank", F.row_number().over(by_distance))
         .filter(F.col("rank") <= k)

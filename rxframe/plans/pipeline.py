@@ -35,11 +35,13 @@ def refine(
     scorer: str = "weighted",
     at: Column | None = None,
     durations: dict | None = None,
+    batch: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Bronze rows into silver, quarantine and gold; returns (checked lines, matched lines).
 
     Only clean lines are matched. Running it again on the same rows changes nothing but the
-    quarantine, which keeps every rejection (see ``quarantine_view``).
+    quarantine, which keeps every rejection (see ``quarantine_view``). A ``batch`` that is run again
+    replaces its own rejections too, so then nothing changes at all.
     """
     durations = {} if durations is None else durations
 
@@ -56,7 +58,7 @@ def refine(
 
     def silver():
         layers.upsert_silver(clean)
-        layers.append_quarantine(checked.filter("rejection_reason IS NOT NULL"))
+        layers.append_quarantine(checked.filter("rejection_reason IS NOT NULL"), batch)
 
     timed("silver", silver)
     matched = timed(
@@ -70,6 +72,10 @@ def refine(
     return checked, matched
 
 
+def _batch(run_id: str, started: datetime) -> str:
+    return f"{run_id}-{started:%Y%m%dT%H%M%S%f}"
+
+
 def _metrics_row(spark, run_id, started, durations, status):
     return spark.createDataFrame(
         [(run_id, started, datetime.now(timezone.utc), durations, status)],
@@ -102,7 +108,7 @@ def run(
         broken = empty.unionByName(
             _metrics_row(spark, run_id, started, durations, status), allowMissingColumns=True
         )
-        layers.append_metrics(broken)
+        layers.append_metrics(broken, _batch(run_id, started))
         layers.mirror_metrics(broken)
         raise
 
@@ -112,7 +118,7 @@ def _run(spark, captures, products, layers, run_id, scorer, started, durations)
     bronze = settle(captures.withColumn("pipeline_run_id", F.lit(run_id)), "captures")
     layers.append_bronze(bronze)
     durations["bronze"] = round(time.monotonic() - begin, 2)
-    checked, matched = refine(bronze, products, layers, scorer, durations=durations)
+    checked, matched = refine(bronze, products, layers, scorer, durations=durations, batch=_batch(run_id, started))
     begin = time.monotonic()
     layers.publish(matched)
     durations["load"] = round(time.monotonic() - begin, 2)
@@ -127,7 +133,7 @@ def _run(spark, captures, products, layers, run_id, scorer, started, durations)
         ),
         "metrics",
     )
-    layers.append_metrics(metrics)
+    layers.append_metrics(metrics, _batch(run_id, started))
     layers.mirror_metrics(metrics)
     return metrics
 

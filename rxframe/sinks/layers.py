@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from rxframe import schemas
 from rxframe.sinks import upsert as U
 
+#: Folder name of appended batches.
+BATCH = "append_batch"
 LINE_KEYS = ["source_file_hash", "line_id"]
 LAYOUTS = {
     "silver": schemas.SILVER,
@@ -79,15 +83,20 @@ class Layers:
         order = latest("processed_at", columns=clean.columns)
         U.upsert(clean, self.silver, LINE_KEYS, order, self.buckets)
 
-    def append_quarantine(self, rejected: DataFrame) -> None:
-        rejected.write.mode("append").parquet(self.quarantine)
+    def _append(self, rows: DataFrame, path: str, batch: str | None) -> None:
+        """Append under the name of a batch; writing a batch of that name again replaces its own rows only."""
+        named = rows.withColumn(BATCH, F.lit(batch or uuid.uuid4().hex))
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+    def append_quarantine(self, rejected: DataFrame, batch: str | None = None) -> None:
+        self._append(rejected, self.quarantine, batch)
 
     def upsert_gold(self, matched: DataFrame) -> None:
         order = latest("matched_at", columns=matched.columns)
         U.upsert(matched, self.gold, LINE_KEYS, order, self.buckets)
 
-    def append_metrics(self, metrics: DataFrame) -> None:
-        metrics.write.mode("append").parquet(self.metrics)
+    def append_metrics(self, metrics: DataFrame, batch: str | None = None) -> None:
+        self._append(metrics, self.metrics, batch)
 
     def publish(self, matched: DataFrame) -> None:
         """Insert or replace matched lines in the serving copy."""
@@ -120,7 +129,7 @@ class Layers:
         return rows.filter(F.col("pipeline_run_id") == run_id) if run_id else rows
 
     def read(self, spark: SparkSession, layer: str, run_id: str | None = None) -> DataFrame:
-        rows = U.read_table(spark, getattr(self, layer), LAYOUTS.get(layer))
+        rows = U.read_table(spark, getattr(self, layer), LAYOUTS.get(layer)).drop(BATCH)
         return rows.filter(F.col("pipeline_run_id") == run_id) if run_id else rows
 
     def register(self, spark: SparkSession, database: str = "default") -> None:
@@ -140,7 +149,7 @@ class Layers:
                 spark.sql(
                     f"CREATE TABLE IF NOT EXISTS {database}.{name} USING parquet LOCATION '{path}'"
                 )
-                if name == "bronze":
+                if name in ("bronze", "quarantine", "metrics"):
                     spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
 
 

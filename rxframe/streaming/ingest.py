@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,11 +63,13 @@ def refine_new_captures(
 ) -> StreamingQuery:
     """Bring captures appended since the last call into lines and matches, then stop.
 
-    Upserts are keyed, so a micro-batch that is retried does no harm.
+    Upserts are keyed, and rejections are appended under the name of the stream and the number of the micro-batch, so one
+    that is run again, whole or from any step, leaves what a single run leaves.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def batch(rows: DataFrame, number: int) -> None:
-        refine(rows, products, layers, scorer, at)
+        refine(rows, products, layers, scorer, at, batch=f"stream-{stream}-{number:09d}")
         if after:
             after(number)
 

@@ -182,6 +182,30 @@ def test_stream_of_captures(spark, tmp_path, run_inputs):
     assert len(batches) == 2 and layers.read(spark, "silver").count() > first
 
 
+def test_batch_that_runs_twice(spark, tmp_path, run_inputs):
+    """A micro-batch that fails after its appends is run again and leaves what one run leaves; so does a batch of metrics."""
+    captures, products = run_inputs
+    layers, calls = Layers(str(tmp_path / "lake"), buckets=2), []
+
+    def fail_once(number):
+        calls.append(number)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+
+    layers.append_bronze(captures)
+    go = lambda: ingest.refine_new_captures(spark, layers, products, str(tmp_path / "cp"), after=fail_once).awaitTermination()
+    with pytest.raises(Exception, match="lost"):
+        go()
+    first = sorted(map(str, layers.read(spark, "quarantine").drop("processed_at").collect()))
+    go()
+    assert calls == [0, 0] and len(first) > 0
+    assert sorted(map(str, layers.read(spark, "quarantine").drop("processed_at").collect())) == first
+    rows = spark.createDataFrame([("r", 1)], "pipeline_run_id string, bronze_rows int")
+    for batch, n in (("a", 1), ("a", 1), ("b", 2)):
+        layers.append_metrics(rows, batch)
+        assert spark.read.parquet(layers.metrics).count() == n
+
+
 def test_landing_files(spark, tmp_path):
     folder = tmp_path / "in"
     assert landing.scan(spark, str(folder)).count() == 0

@@ -211,7 +211,7 @@ def test_quota_equals_one_by_one(spark, limit, window):
 
 
 def test_quota_on_a_stream(spark, tmp_path):
-    hits = [(i, "a" if i % 4 else "b", i * 7) for i in range(200)]
+    hits = [(i, "a" if i % 4 else "b", 1000 + i * 7) for i in range(200)]
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in (hits[:120], hits[120:]):
         spark.createDataFrame(part, "event_id long, client string, s int").selectExpr(
@@ -275,3 +275,37 @@ def test_history(spark, plan):
     assert "WindowGroupLimit" in plan(history)
     totals = {r["user_id"]: r["total_saving"] for r in reports.lifetime_saving(scans).collect()}
     assert totals == {1: 8.75, 2: 0.0}
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_nearest_at_poles_and_date_line(spark, plan, k):
+    rng = random.Random(k)
+    places = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)]
+    places += [(rng.uniform(-17, -16), rng.choice([179.9, -179.9, 180.0, -180.0])) for _ in range(20)]
+    places += [(90.0, 10.0), (89.99, -170.0), (-90.0, 0.0), (-89.5, 45.0)]
+    rows = [(f"{i:04d}", "n", "a", "d", "s", "p", *ll) for i, ll in enumerate(places)]
+    table = spark.createDataFrame(rows, "code string, name string, address string, district string, state string, pincode string, lat double, lng double")
+    probes = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(25)]
+    probes += [(90.0, 0.0), (-90.0, 90.0), (89.9, 179.0), (-16.5, 180.0), (-16.5, -180.0), (-16.5, 179.99), (0.0, -179.99)]
+    asked = spark.createDataFrame([(i, *ll) for i, ll in enumerate(probes)] + [(99, None, 1.0)], "probe int, lat double, lng double")
+    found = nearest.nearest_stores(asked, table, k)
+    got = {(r["probe"], r["rank"]): r["code"] for r in found.collect()}
+    for i, ll in enumerate(probes):
+        ranked = sorted((round(km(ll, s), 9), f"{n:04d}") for n, s in enumerate(places))[:k]
+        assert [got[i, n + 1] for n in range(k)] == [c for _, c in ranked], ll
+    assert len(got) == k * len(probes) and "CartesianProduct" not in plan(found) and "NestedLoop" not in plan(found)
+
+
+def test_quota_state_expires(spark, tmp_path):
+    """Clients idle for a window leave the state; a hit behind the watermark gives no row."""
+    folder, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    parts = [[(i, f"c{i % 40}", 1000 + i) for i in range(80)], [(100, "late", 1005), (101, "x", 10_000), (102, "c1", 10_001)], [(103, "x", 10_002)], [(104, "x", 10_003)]]
+    for part in parts:
+        spark.createDataFrame(part, "event_id long, client string, s int").selectExpr("event_id", "client", "timestamp_seconds(s) AS ts").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("event_id long, client string, ts timestamp").parquet(folder)
+        writer = quota_stream.admissions(stream, 3, 60, late_seconds=0).writeStream.format("parquet").option("path", out)
+        writer.option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    got = {r["event_id"]: r["admitted"] for r in spark.read.parquet(out).collect()}
+    assert set(got) == {*range(80), 101, 102, 103, 104} and all(got.values())
+    left = {r["key"]["client"] for r in spark.read.format("statestore").load(cp).collect()}
+    assert left == {"x", "c1"}
