@@ -186,7 +186,7 @@ def hot_label(rows, seed, dim=32, common=0.0):
 
 @pytest.mark.parametrize("common", [0.0, 0.3])
 def test_vectors_of_a_hot_label(spark, monkeypatch, common):
-    """Pairs at the threshold in a label far larger than its windows; the label takes passes, then all pairs."""
+    """Pairs at the threshold in a label far larger than its windows; the label takes passes, then all pairs on demand."""
     x = hot_label(6000, 5, common=common)
     table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     near = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
@@ -198,6 +198,8 @@ def test_vectors_of_a_hot_label(spark, monkeypatch, common):
     assert len(near) >= 200 and recall >= 0.98, recall
     monkeypatch.setattr(embedding_dedup, "TILE", 1024)
     found = {v.vec_id: v.component_id for v in embedding_dedup.near_duplicates(table).collect()}
+    assert np.mean([found[a] == found[b] for a, b in near]) >= 0.98
+    found = {v.vec_id: v.component_id for v in embedding_dedup.near_duplicates(table, whole=6000).collect()}
     assert all(found[a] == found[b] for a, b in near)
 
 
