@@ -41,10 +41,11 @@ def unpacked(rows: DataFrame, names: Sequence[str], added: Sequence[str]) -> Dat
 
 
 def column(rows: DataFrame, name: str, kind: str) -> Column:
-    """A column by name, or a typed null when the table has none."""
-    if name in rows.columns:
-        return rows[f"`{name}`"].cast(kind)
-    return F.lit(None).cast(kind)
+    """A column by name, whatever its case; a table without it is an error."""
+    found = [c for c in rows.columns if c == name] or [c for c in rows.columns if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are named {name}; the table has {', '.join(rows.columns) or 'none'}")
+    return rows[f"`{found[0]}`"].cast(kind)
 
 
 def running(rows: DataFrame, group: list[str], part: str, order: list, value: str, out: str) -> DataFrame:

@@ -229,5 +229,6 @@ def accepted(docs: DataFrame, model: Callable | None, text: str = "text", least:
                 whole = whole.filter(pa.array(model(np.array([features(t) for t in texts], dtype="f8")) >= least))
             yield whole
 
-    body = column(docs, text, "string").alias("_scored_text")
+    # Longer than every name of the table, so that it clashes with none.
+    body = column(docs, text, "string").alias("_" * (1 + max(map(len, docs.columns))))
     return docs.select(*[docs[f"`{c}`"] for c in docs.columns], body).mapInArrow(run, schema)

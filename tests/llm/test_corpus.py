@@ -188,6 +188,17 @@ def test_classifier_odd_rows(spark, documents):
         assert len(found) == 5 and all(0 <= x.score <= 1 for x in found)
     assert quality.fit(docs.limit(0), labels) is None and quality.score(docs.limit(0), None).count() == 0
     assert quality.accepted(docs, None).count() == 5
+    clashing = docs.selectExpr("*", "upper(text) AS _scored_text", "1 AS score", "2 AS held_out")
+    kept = quality.accepted(clashing, lambda x: x[:, 0] * 0 + 1)
+    assert kept.columns == clashing.columns and {x._scored_text for x in kept.collect()} == {None, "", "X Y", "A" * 100_000, "A"}
+
+
+def test_missing_columns_are_errors(spark):
+    docs = spark.createDataFrame([(1, "a")], "DOC_ID long, body string")
+    assert exact_dedup.dedup(docs, text="body").count() == 1
+    for run in (exact_dedup.dedup, packing.pack, lambda d: mixing.mix(mixing.sizes(d)), lambda d: quality.score(d, None)):
+        with pytest.raises(ValueError, match="columns are named"):
+            run(docs)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
