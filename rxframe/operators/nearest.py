@@ -57,10 +57,13 @@ def _narrowed(spots: DataFrame, points: DataFrame, k: int) -> DataFrame:
     points up to some distance, and only cells whose least distance is not beyond it go on. So a spot keeps a handful of
     cells on each level wherever it is, and no key stands for all points.
     """
-    held = _on_sphere(spots).withColumn("cell", F.lit(0).cast("long"))
+    # The coarsest cells are few, so each spot names them all: meeting them by one constant key would be a nested loop.
+    side = range((int(2 / EDGE) >> SHIFT * TOP) + 1)
+    coarsest = F.array(*[F.lit((a << 28) + (b << 14) + c).cast("long") for a in side for b in side for c in side])
+    held = _on_sphere(spots).withColumn("cell", F.explode(coarsest))
     for level in range(TOP, -1, -1):
         inside = _cells(points, level).withColumnRenamed("cell", "_cell")
-        met = held.join(inside, F.col("cell") == F.col("parent")).drop("cell")
+        met = held.join(inside, F.col("cell") == F.col("_cell" if level == TOP else "parent")).drop("cell")
         near, far = F.lit(0.0), F.lit(0.0)
         for c in "xyz":
             below, above = F.col(f"min_{c}") - F.col(c), F.col(c) - F.col(f"max_{c}")
