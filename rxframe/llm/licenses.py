@@ -87,9 +87,9 @@ def digested(rows: DataFrame) -> DataFrame:
 
 
 def lines(form: Column) -> Column:
-    """Distinct digests of the lines with words."""
+    """Distinct digests of the lines with words, as bytes."""
     parts = F.transform(F.split(form, "\n"), lambda x: F.trim(x))
-    return F.transform(F.array_distinct(F.filter(parts, lambda x: x != "")), lambda x: F.sha2(x, 256))
+    return F.transform(F.array_distinct(F.filter(parts, lambda x: x != "")), lambda x: F.unhex(F.sha2(x, 256)))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -103,28 +103,29 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 def scan(docs: DataFrame, known: DataFrame | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text_digest``, ``licenses`` of the whole text and ``notices`` of its lines, both sorted.
 
-    Digests alone meet the known ones (Spark broadcasts these if their measured size allows it); only documents
+    The canonical form is the dear part, so it is computed once: rows are stored with the digests of their text and
+    lines. Digests alone meet the known ones (Spark broadcasts these if their measured size allows it); only documents
     with a hit shuffle to get it.
     """
     known = settle(known if known is not None else known_digests(docs.sparkSession), "known").withColumnRenamed("digest", "_digest")
     body = column(docs, text, "string")
-    rows = packed(docs, k=column(docs, ident, "long"), h=F.xxhash64(body), text=body)
-    form = digested(formed(rows.select("k", "h", "text"), F.col("text")))
+    # A null id is a key like any other here.
+    rows = packed(docs, k=F.coalesce(column(docs, ident, "long").cast("string"), F.lit("-")), h=F.xxhash64(body), text=body)
+    form = digested(formed(rows, F.col("text")))
+    rows = settle(form.select("row", "k", "h", "text_digest", lines(F.col("form")).alias("lines")), "formed")
     every = F.concat(
-        F.array(F.struct(F.col("text_digest").alias("d"), F.lit(True).alias("all"))),
-        F.transform(lines(F.col("form")), lambda d: F.struct(d.alias("d"), F.lit(False).alias("all"))),
+        F.array(F.struct(F.unhex("text_digest").alias("d"), F.lit(True).alias("all"))),
+        F.transform("lines", lambda d: F.struct(d.alias("d"), F.lit(False).alias("all"))),
     )
-    digests = form.select("k", "h", F.explode(every).alias("x"))
-    hits = digests.join(known, F.col("x.d") == F.col("_digest"))
+    digests = rows.select("k", "h", F.explode(every).alias("x"))
+    hits = digests.join(known.withColumn("_digest", F.unhex("_digest")), F.col("x.d") == F.col("_digest"))
     found = hits.groupBy("k", "h").agg(
         F.sort_array(F.collect_set(F.when(F.col("x.all"), F.col("license")))).alias("licenses"),
         F.sort_array(F.collect_set(F.when(~F.col("x.all"), F.col("license")))).alias("notices"),
     )
-    # A null id is a key like any other here.
-    rows = rows.withColumn("k", F.coalesce(F.col("k").cast("string"), F.lit("-")))
-    found = settle(found.withColumn("k", F.coalesce(F.col("k").cast("string"), F.lit("-"))), "found")
+    found = settle(found, "found")
     none = F.array().cast("array<string>")
-    out = digested(formed(exact_dedup.join_few(rows, ["k", "h"], found), F.col("text"))).select(
+    out = exact_dedup.join_few(rows, ["k", "h"], found).select(
         "row", "text_digest", F.coalesce("licenses", none).alias("licenses"), F.coalesce("notices", none).alias("notices")
     )
     return unpacked(out, docs.columns, ADDED)
