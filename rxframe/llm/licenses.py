@@ -22,6 +22,8 @@ from rxframe.llm.common import column, packed, unpacked
 from rxframe.session import settle
 
 ADDED = ["text_digest", "licenses", "notices"]
+#: Known texts up to this number (about 15 MB in memory) are broadcast; more of them meet the digests in a shuffle.
+FEW_KNOWN = 100_000
 
 #: Starts of words that license texts use for one another, as pairs (found, canonical).
 SPELLINGS = [
@@ -107,7 +109,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, ident: str = "doc_id",
     lines. Digests alone meet the known ones (Spark broadcasts these if their measured size allows it); only documents
     with a hit shuffle to get it.
     """
-    known = settle(known if known is not None else known_digests(docs.sparkSession), "known").withColumnRenamed("digest", "_digest")
+    known = settle(known if known is not None else known_digests(docs.sparkSession), "known").select(F.unhex("digest").alias("_digest"), "license")
     body = column(docs, text, "string")
     # A null id is a key like any other here.
     rows = packed(docs, k=F.coalesce(column(docs, ident, "long").cast("string"), F.lit("-")), h=F.xxhash64(body), text=body)
@@ -118,7 +120,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, ident: str = "doc_id",
         F.transform("lines", lambda d: F.struct(d.alias("d"), F.lit(False).alias("all"))),
     )
     digests = rows.select("k", "h", F.explode(every).alias("x"))
-    hits = digests.join(known.withColumn("_digest", F.unhex("_digest")), F.col("x.d") == F.col("_digest"))
+    hits = digests.join(F.broadcast(known) if known.count() <= FEW_KNOWN else known, F.col("x.d") == F.col("_digest"))
     found = hits.groupBy("k", "h").agg(
         F.sort_array(F.collect_set(F.when(F.col("x.all"), F.col("license")))).alias("licenses"),
         F.sort_array(F.collect_set(F.when(~F.col("x.all"), F.col("license")))).alias("notices"),
