@@ -16,6 +16,7 @@ from rxframe.functions import similarity
 QUERY_CHUNK = 128
 CANDIDATE_CHUNK = 1024
 QUERY_CHUNKS_PER_KEY = 4
+NEVER = 2**31 - 1
 
 
 def _scorer(scorer: str, whole: bool, cutoff: float):
@@ -33,20 +34,32 @@ def _scorer(scorer: str, whole: bool, cutoff: float):
 
 
 def _edit(cutoff: float, whole: bool) -> Column:
-    """The same by Spark's own edit distance: 100 x (1 - distance / longer length), for each query of the chunk."""
+    """The same by Spark's own edit distance: 100 x (1 - distance / longer length), for each query of the chunk.
+
+    The best so far (at first ``cutoff``) bounds the distance that the next candidate may have, so a pair that cannot
+    win or tie is given up after a few diagonals.
+    """
+    none = F.struct(F.lit(-float(cutoff)).alias("rank"), F.lit(NEVER).alias("gap"), F.get("c_items", F.lit(-1)).alias("item"))
 
     def best(q):
-        def rank(c):
-            longer = F.greatest(F.length(q), F.length(c["text"]))
-            score = F.when(longer > 0, (longer - F.levenshtein(q, c["text"])) * F.lit(100.0) / longer).otherwise(0.0)
+        def better(so_far, c):
+            longer = F.greatest(q["n"], c["n"])
+            # The small addition keeps ties in spite of rounding; it only lets a pair in that is then compared.
+            limit = F.floor(longer * (so_far["rank"] + 100.0) / 100.0 + 1e-6).cast("int")
+            # Beyond the limit the distance is -1, here a number that no candidate can win with.
+            distance = F.pmod(F.call_function("levenshtein", q["text"], c["text"], limit), F.lit(NEVER))
+            score = (longer - distance) * F.lit(100.0) / F.greatest(longer, F.lit(1))
             score = F.floor(score).cast("double") if whole else score
-            gap = F.abs(F.length(q) - F.length(c["text"])) if whole else F.lit(0)
-            return F.struct((-score).alias("rank"), gap.alias("gap"), c.alias("item"))
+            gap = F.abs(q["n"] - c["n"]) if whole else F.lit(0)
+            return F.least(so_far, F.struct((-score).alias("rank"), gap.alias("gap"), c.alias("item")))
 
-        found = F.array_min(F.transform("c_items", rank))
-        return F.struct(q.alias("text"), found["item"].alias("item"), (-found["rank"]).alias("score"))
+        found = F.aggregate("c_items", none, better)
+        return F.transform(
+            F.array(found), lambda f: F.struct(q["text"].alias("text"), f["item"].alias("item"), (-f["rank"]).alias("score"))
+        )[0]
 
-    return F.filter(F.transform("q_texts", best), lambda w: w["score"] >= cutoff)
+    measured = F.transform("q_texts", lambda q: F.struct(q.alias("text"), F.length(q).alias("n")))
+    return F.filter(F.transform(measured, best), lambda w: w["item"].isNotNull())
 
 
 def _chunks(counts: Column, size: int) -> Column:
@@ -102,7 +115,7 @@ def best_per_query(
         .withColumn("c_chunk", F.pmod(spread, F.col("c_chunks")).cast("int"))
         .repartition(tasks, "block", "c_chunk")
         .groupBy("block", "c_chunk", "salts")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("c_items"))
+        .agg(F.array_sort(F.collect_list(F.struct("ord", "text", F.length("text").alias("n")))).alias("c_items"))
         .select(
             "block",
             "c_chunk",

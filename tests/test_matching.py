@@ -183,3 +183,24 @@ def test_saved_requests_skip_known_brands(spark, small):
     have = spark.createDataFrame([(2, brand)], "user_id int, brand string")
     got = lookup.resolve_saved(asked, have, ref).collect()
     assert [(r["user_id"], r["id"], r["brand"]) for r in got] == [(1, 4, brand)]
+
+
+@pytest.mark.parametrize(("whole", "cutoff"), [(True, 0.0), (True, 60.0), (False, 0.0), (False, 72.0)])
+def test_bounded_edit_scorer_equals_every_pair(spark, whole, cutoff):
+    r = random.Random(5)
+    texts = ["".join(r.choice("abé ") for _ in range(r.randint(0, 9))) for _ in range(150)]
+    asked, known = sorted(set(texts[:60])), sorted(set(texts[60:]) | {"ab", "ba", ""})
+    queries = spark.createDataFrame([("x", t) for t in asked], "block string, text string")
+    candidates = spark.createDataFrame([("x", t, i % 7) for i, t in enumerate(known)], "block string, text string, ord int")
+    found = {
+        row.text: (row.candidate, row.ord, row.score)
+        for row in scoring.best_per_query(queries, candidates, "edit", whole, cutoff).collect()
+    }
+    wanted = {}
+    for q in asked:
+        for i, c in enumerate(known):
+            score = float(math.floor(brute.edit(q, c))) if whole else brute.edit(q, c)
+            rank = (-score, abs(len(q) - len(c)) if whole else 0, i % 7, c)
+            if score >= cutoff:
+                wanted[q] = min(wanted.get(q, rank), rank)
+    assert found == {t: (c, o, -s) for t, (s, _, o, c) in wanted.items()}
