@@ -1,10 +1,19 @@
 """What keeps figures of large tables in proportion: files of bounded size, few shuffles, patterns matched once."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from checks import fixtures as X
 from checks import queries as Q
+from rxframe import session
+from rxframe.operators import matching, quality, safety
+from rxframe.operators.captures import parse_captures
+from rxframe.sinks import upsert as U
 from rxframe.sources import landing
 
+RULES = "salts array<string>, severity string, effect string, advice string, rule_pos long"
+
 
 def test_landing_files_do_not_grow_with_a_partition(spark, tmp_path):
     docs = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"))
@@ -12,3 +21,61 @@ def test_landing_files_do_not_grow_with_a_partition(spark, tmp_path):
     files = landing.scan(spark, Q._landing_folder(spark, str(tmp_path))).select("length").collect()
     assert len(files) == -(-1500 // Q.LANDING_RECORDS)
     assert sum(f.length for f in files) == sum(2 * n + 1 for n in range(1500)) + 2  # the empty text is written as ""
+
+
+def _medicines(spark):
+    rows = [("r", 0, "A", ["p", "q"]), ("r", 1, "B", ["q"]), ("r", 2, "A", ["p", "q"]), ("r", 3, "A", ["z"]), (None, 0, "A", ["p"]), (None, 1, "B", ["p"]), ("s", 0, "C", [None, "p"]), ("s", 1, "D", [None, "q"])]
+    return spark.createDataFrame(rows, "rx_id string, position int, brand string, salt_keys array<string>")
+
+
+def test_warnings_meet_rules_without_a_shuffle_of_pairs(spark, plan):
+    rules = spark.createDataFrame([(["p", "q"], "major", "e", "v", 0)], RULES)
+    found = safety.interactions(_medicines(spark), rules, keep=session.settle)
+    rows = sorted((r.rx_id, r.brand_a, r.brand_b, r.rule_pos, r.pos_a, r.pos_b) for r in found.collect())
+    assert rows == [
+        ("r", "A", "A", -1, 0, 2), ("r", "A", "A", -1, 0, 2), ("r", "A", "A", 0, 0, 2), ("r", "A", "B", -1, 0, 1), ("r", "A", "B", 0, 0, 1),
+        ("r", "B", "A", -1, 1, 2), ("r", "B", "A", 0, 1, 2), ("s", "C", "D", 0, 0, 1),
+    ]
+    dealt = _medicines(spark).repartition(4, "rx_id")
+    text = plan(safety.interactions(dealt, rules, keep=session.settle))
+    assert "SortMergeJoin" not in text and len(re.findall(r"Exchange hashpartitioning\(rx_id", text)) == 1
+
+
+def test_cross_warnings_stay_with_their_scan(spark, plan):
+    rules = spark.createDataFrame([(["p", "q"], "major", "e", "v", 0)], RULES)
+    scanned = _medicines(spark).withColumnRenamed("rx_id", "scan_id").withColumn("user_id", F.lit(1)).repartition(4, "scan_id")
+    saved = spark.createDataFrame([(1, "D", ["q"]), (1, "a", ["p"]), (2, "E", ["q"])], "user_id int, brand string, salt_keys array<string>")
+    found = safety.cross_interactions(scanned, saved, rules, keep=session.settle)
+    rows = sorted((r.scan_id, r.brand_a, r.saved_med, r.rule_pos) for r in found.filter("scan_id = 's'").collect())
+    assert rows == [("s", "C", "D", 0), ("s", "C", "a", -1), ("s", "D", "a", 0)]
+    assert not re.search(r"Exchange hashpartitioning\([^)]*(brand|user_id[^)]*salt|rule_pos)", plan(found))
+
+
+def test_captures_deal_their_lines_once_by_prescription(spark, small, plan):
+    text = plan(X.captures(spark, small))
+    assert "hashpartitioning(l_orderkey" not in text
+    assert len(re.findall(r"Exchange hashpartitioning\(rx_id", text)) == 2  # lines and orders
+
+
+def test_patterns_of_a_line_are_matched_once(spark, small, plan):
+    kept = quality.check(parse_captures(X.captures(spark, small), X.processed_at())).filter("rejection_reason IS NULL")
+    text = plan(kept.select("line_id", "drug_name_normalized", "dosage_value", "dosage_unit"))
+    assert text.count("regexp_extract") == 2 and text.count("(?i)^(tab") == 1
+
+
+def test_upsert_in_one_shuffle_keeps_rows_whose_key_is_null(spark, tmp_path):
+    kind, keys, order, path = "a string, b int, v int", ["a", "b"], [F.col("v").desc()], f"{tmp_path}/t"
+    U.upsert(spark.createDataFrame([("x", 1, 1), (None, 1, 2), ("y", None, 3)], kind), path, keys, order, 2)
+    U.upsert(spark.createDataFrame([("x", 1, 0), (None, 1, 1), (None, 1, 5), ("y", None, 3)], kind), path, keys, order, 2)
+    found = sorted(map(tuple, U.read_table(spark, path).collect()), key=str)
+    assert found == sorted([("x", 1, 0), (None, 1, 2), (None, 1, 5), ("y", None, 3), ("y", None, 3)], key=str)
+    rows = U._merged(spark.range(5).selectExpr("id AS k", "id AS v"), spark.range(9).selectExpr("id AS k", "id AS v"), ["k"], [F.col("v")], F.lit(0))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_few_distinct_names_leave_the_lines_where_they_are(spark, plan):
+    products = spark.createDataFrame([("red ring", 1.0, 0, "s", "s", "red", "red ring")], "name string, price double, pos long, salt string, signature string, block_key string, name_norm string")
+    groups = spark.createDataFrame([("s", "red ring", 1.0)], "signature string, generic_name string, generic_price double")
+    lines = spark.createDataFrame([("1", "h", "red rin", "r")], "line_id string, source_file_hash string, drug_name_normalized string, pipeline_run_id string")
+    text = plan(matching.match_lines(lines, products, groups, "edit", keep=session.settle))
+    assert "Exchange hashpartitioning(q_norm" not in text
