@@ -31,9 +31,9 @@ def parse_captures(bronze: DataFrame, processed_at: Column | None = None) -> Dat
         "source_file_hash", "pipeline_run_id", document(F.col("raw_response")).alias("doc")
     ).withColumn("medicines", F.try_variant_get("doc", "$[0].medicines", schemas.MEDICINES))
     fits = F.col("medicines").isNotNull() & ~F.exists("medicines", lambda m: m.isNull())
-    broken = (
-        F.try_variant_get("doc", "$[0]", "variant").isNull()
-        | F.try_variant_get("doc", "$[1]", "variant").isNotNull()
+    # A document whose medicines fit is there; only for the others its copy is made to see that.
+    broken = F.try_variant_get("doc", "$[1]", "variant").isNotNull() | (
+        ~fits & F.try_variant_get("doc", "$[0]", "variant").isNull()
     )
     absent = F.schema_of_variant(F.try_variant_get("doc", "$[0]", "variant")).startswith(
         "OBJECT"
@@ -60,15 +60,26 @@ def parse_captures(bronze: DataFrame, processed_at: Column | None = None) -> Dat
     )
     med = F.col("medicine")
     raw = _first_given(med["raw_text"], med["normalized_name"])
+    given = lines.withColumns(
+        {
+            "name": text.clean_name(_first_given(med["normalized_name"], raw)),
+            "number": text.dose_number(med["dosage"]),
+            "unit": text.unit_text(med["dosage"]),
+        }
+    )
+    # As the element of an array the patterns' results are computed once: a filter on what is derived from them
+    # (the failed expectation) would otherwise be moved below this step together with a copy of every pattern.
+    once = F.struct("name", text.number_value(F.col("number")).alias("value"), "unit")
+    lines = given.withColumn("once", once).withColumn("o", F.explode(F.array("once")))
     return lines.select(
         F.concat(F.substring("source_file_hash", 1, 12), F.lit("-"), F.col("position")).alias(
             "line_id"
         ),
         "source_file_hash",
         raw.alias("drug_name_raw"),
-        text.clean_name(_first_given(med["normalized_name"], raw)).alias("drug_name_normalized"),
-        text.dose_value(med["dosage"]).alias("dosage_value"),
-        text.dose_unit(med["dosage"]).alias("dosage_unit"),
+        F.col("o.name").alias("drug_name_normalized"),
+        F.col("o.value").alias("dosage_value"),
+        F.nullif("o.unit", F.lit("")).alias("dosage_unit"),
         med["frequency"].alias("frequency"),
         text.quantity(med["frequency"]).alias("quantity"),
         F.when(F.col("rejection_reason").isNotNull(), F.lit(0.0))

@@ -57,7 +57,7 @@ def refine(
     clean = checked.filter("rejection_reason IS NULL")
 
     def silver():
-        layers.upsert_silver(clean)
+        layers.upsert_silver(clean, stored=True)
         layers.append_quarantine(checked.filter("rejection_reason IS NOT NULL"), batch)
 
     timed("silver", silver)
@@ -68,7 +68,7 @@ def refine(
             "matched",
         ),
     )
-    timed("gold", lambda: layers.upsert_gold(matched))
+    timed("gold", lambda: layers.upsert_gold(matched, stored=True))
     return checked, matched
 
 
@@ -120,7 +120,7 @@ def _run(spark, captures, products, layers, run_id, scorer, started, durations)
     durations["bronze"] = round(time.monotonic() - begin, 2)
     checked, matched = refine(bronze, products, layers, scorer, durations=durations, batch=_batch(run_id, started))
     begin = time.monotonic()
-    layers.publish(matched)
+    layers.publish(matched, stored=True)
     durations["load"] = round(time.monotonic() - begin, 2)
     runs = _metrics_row(spark, run_id, started, durations, "success")
     metrics = settle(

@@ -79,9 +79,9 @@ class Layers:
         )
         return seen.get["rows"]
 
-    def upsert_silver(self, clean: DataFrame) -> None:
+    def upsert_silver(self, clean: DataFrame, stored: bool = False) -> None:
         order = latest("processed_at", columns=clean.columns)
-        U.upsert(clean, self.silver, LINE_KEYS, order, self.buckets)
+        U.upsert(clean, self.silver, LINE_KEYS, order, self.buckets, stored)
 
     def _append(self, rows: DataFrame, path: str, batch: str | None) -> None:
         """Append under the name of a batch; writing a batch of that name again replaces its own rows only."""
@@ -91,17 +91,17 @@ class Layers:
     def append_quarantine(self, rejected: DataFrame, batch: str | None = None) -> None:
         self._append(rejected, self.quarantine, batch)
 
-    def upsert_gold(self, matched: DataFrame) -> None:
+    def upsert_gold(self, matched: DataFrame, stored: bool = False) -> None:
         order = latest("matched_at", columns=matched.columns)
-        U.upsert(matched, self.gold, LINE_KEYS, order, self.buckets)
+        U.upsert(matched, self.gold, LINE_KEYS, order, self.buckets, stored)
 
     def append_metrics(self, metrics: DataFrame, batch: str | None = None) -> None:
         self._append(metrics, self.metrics, batch)
 
-    def publish(self, matched: DataFrame) -> None:
+    def publish(self, matched: DataFrame, stored: bool = False) -> None:
         """Insert or replace matched lines in the serving copy."""
         order = latest("matched_at", columns=matched.columns)
-        U.upsert(matched, self.serving, LINE_KEYS, order, self.buckets)
+        U.upsert(matched, self.serving, LINE_KEYS, order, self.buckets, stored)
 
     def mirror_metrics(self, metrics: DataFrame) -> None:
         """Replace the run's row in the serving copy, maps as JSON text."""

@@ -85,12 +85,28 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return spark.read.parquet(path)
 
 
+def _merged(kept: DataFrame | None, updates: DataFrame, keys: list[str], order: list[Column], bucket: Column) -> DataFrame:
+    """``merge`` with the bucket of every row, in one shuffle and one sort, whose order by bucket the writer needs too.
+
+    As in a join, a key with a null equals no other: stored rows that have one stay.
+    """
+    rows = updates.withColumn("_new", F.lit(True))
+    if kept is not None:
+        rows = kept.withColumn("_new", F.lit(False)).unionByName(rows)
+    rank = F.row_number().over(Window.partitionBy(BUCKET, *keys).orderBy(F.col("_new").desc(), *order))
+    stays = (F.col("_rank") == 1) if kept is None else (F.col("_rank") == 1) | (
+        ~F.col("_new") & F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    )
+    return rows.withColumn(BUCKET, bucket).withColumn("_rank", rank).filter(stays).drop("_rank", "_new")
+
+
 def upsert(
     updates: DataFrame,
     path: str,
     keys: list[str],
     order: list[Column],
     buckets: int = 64,
+    stored: bool = False,
 ) -> None:
     """Update-all / insert-all on ``keys`` into a parquet table.
 
@@ -98,32 +114,32 @@ def upsert(
     others keep the folder they are in; a small pointer file, which names the folder of every bucket, is renamed into
     place last. A job lost before that leaves the old version untouched, and a second writer of the same version
     fails at the rename. Folders that neither the new nor the previous version uses are removed afterwards. The bucket
-    count is part of the version: another count writes the whole table anew.
+    count is part of the version: another count writes the whole table anew. ``stored`` says that ``updates`` are read from
+    a table and need not be written to be read twice.
     """
     spark = updates.sparkSession
     path = path.rstrip("/")
     old = current(spark, path)
     fresh = uuid.uuid4().hex
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    winners = last_wins(updates, keys, order)
     held: dict[int, str] = {}
     if old and old.buckets == buckets:
-        # Winners are stored once: their buckets are wanted first, then their rows.
-        winners = settle(winners.withColumn(BUCKET, bucket), "winners").drop(BUCKET)
+        # Updates are stored once, unless they are: their buckets are wanted first, then their rows.
+        updates = updates if stored else settle(updates, "updates")
         # At most ``buckets`` numbers come back.
-        touched = {r[0] for r in winners.select(bucket).distinct().collect()}
+        touched = {r[0] for r in updates.select(bucket).distinct().collect()}
         if not touched:
             return
         held = {b: f for b, f in old.holders.items() if b not in touched}
         paths = [f"{path}/data/{f}/{BUCKET}={b}" for b, f in old.holders.items() if b in touched]
         kind = StructType.fromJson(json.loads(old.schema))
         kept = spark.read.schema(kind).parquet(*paths) if paths else spark.createDataFrame([], kind)
-        rows = kept.join(winners.select(*keys), keys, "left_anti").select(*winners.columns).unionByName(winners)
+        rows = _merged(kept.select(*updates.columns), updates, keys, order, bucket)
     elif old:
-        rows = merge(read_table(spark, path), updates, keys, order)
+        rows = _merged(read_table(spark, path).select(*updates.columns), updates, keys, order, bucket)
     else:
-        rows = winners
-    rows.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/data/{fresh}")
+        rows = _merged(None, updates, keys, order, bucket)
+    rows.write.partitionBy(BUCKET).parquet(f"{path}/data/{fresh}")
     fs, target = _hadoop(spark, f"{path}/data/{fresh}")
     names = [f.getPath().getName() for f in fs.listStatus(target)]
     held |= {int(n.split("=")[1]): fresh for n in names if n.startswith(f"{BUCKET}=")}
