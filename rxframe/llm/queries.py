@@ -65,7 +65,7 @@ def op11_turn_repair(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op12_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
-    coded = byte_pairs.decode(byte_pairs.encode(table(lean(spark), d, "documents")))
+    coded = byte_pairs.round_trip(table(lean(spark), d, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
