@@ -3,8 +3,9 @@
 1. Vectors are compared only inside a label and a dimension. Equal vectors are one class with a count.
 2. The number of passes of a label is planned from its rows and from a sample of them (``needed``), so that a pair
    exactly at the threshold is missed with a chance of ``MISS`` or less; ``passes`` is the least number.
-3. A label of ``whole`` rows or less (one tile) is one window: its rows are compared in one task and no pair is missed.
-   So is, tile against tile, a label for which no number of passes up to its rows can be planned, as in a narrow cone.
+3. Labels of every size go this way; one with no more rows than a window holds is compared whole by it. A label for which
+   no number of passes up to ``MOST`` can be planned, as in a narrow cone, is compared whole, tile against tile, and so are
+   labels of up to ``whole`` rows if the caller asks for that.
 4. In each pass a vector gets ``BITS`` signs of random projections, taken from the middle of its label, as one long
    number. Vectors are range-sorted by (label, dimension, pass, number), so close vectors stand close together, and
    each is compared with the next ``window`` in order. Where a partition ends, its last rows meet the first of the next
@@ -40,6 +41,7 @@ BLOCK = 4096
 TILE = 1024
 BUNDLE_ROWS = 2000
 MISS = 0.01
+MOST = 4096
 SAMPLE = 4096
 PROBES = 256
 SEED = 77
@@ -110,7 +112,7 @@ def needed(sample: np.ndarray, rows: int, threshold: float, window: int, bits: i
 
     A pass finds a pair that agrees in as many leading signs as leave no more than ``window`` rows with the same signs.
     That many rows are expected from the angles between a probe and the sample; rows linked with the probe do not
-    count, since reaching any of them is enough. Infinite if ``bits`` signs leave more.
+    count, since reaching any of them is enough. Infinite if ``bits`` signs leave more, or beyond ``MOST`` passes.
     """
     middle = sample.mean(axis=0)
     moved = sample - middle
@@ -118,9 +120,10 @@ def needed(sample: np.ndarray, rows: int, threshold: float, window: int, bits: i
     moved = moved / norm[:, None]
     n = min(PROBES, len(sample))
     agree = lambda cosine: 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
-    same = np.where(sample[:n] @ sample.T >= threshold, 0.0, agree(moved[:n] @ moved.T))
-    crowd, signs, left = same.copy(), np.full(n, np.inf), np.arange(n)
-    for k in range(1, bits + 1):
+    apart = sample[:n] @ sample.T < threshold
+    same = np.where(apart, agree(moved[:n] @ moved.T), 0.0)
+    crowd, signs, left = apart.astype("f8"), np.full(n, np.inf), np.arange(n)
+    for k in range(bits + 1):
         few = crowd[left].sum(axis=1) * rows / len(sample) <= window
         signs[left[few]] = k
         left = left[~few]
@@ -131,7 +134,7 @@ def needed(sample: np.ndarray, rows: int, threshold: float, window: int, bits: i
     low, high = 0, 1
     while missed(high) > MISS:
         low, high = high, 2 * high
-        if high > rows:
+        if high > MOST:
             return np.inf, middle
     while high - low > 1:
         mid = (low + high) // 2
@@ -139,9 +142,8 @@ def needed(sample: np.ndarray, rows: int, threshold: float, window: int, bits: i
     return float(high), middle
 
 
-def planned(known: DataFrame, threshold: float, passes: int, window: int, whole: int | None = None) -> DataFrame:
+def planned(known: DataFrame, threshold: float, passes: int, window: int, whole: int = 0) -> DataFrame:
     """``label``, ``dim``, ``tiles``, ``passes`` (null: compare all pairs) and ``middle`` of every label."""
-    whole = TILE if whole is None else whole
     sizes = settle(known.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows")), "sizes")
     large = sizes.filter(F.col("rows") > whole)
     names = {"label": "_label", "dim": "_dim"}
@@ -303,11 +305,11 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     passes: int = PASSES,
     window: int = WINDOW,
-    whole: int | None = None,
+    whole: int = 0,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every row of ``vectors``.
 
-    ``whole``: labels of up to so many rows are compared all with all (``TILE`` if not given).
+    ``whole``: labels of up to so many rows are compared all with all, in place of passes.
     """
     known = settle(classes(vectors, ident, vector, label), "classes")
     plans = planned(known, threshold, passes, window, whole).withColumnsRenamed({"label": "_label", "dim": "_dim"})
