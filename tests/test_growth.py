@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as X
 from checks import queries as Q
 from rxframe import session
+from rxframe.functions import text
 from rxframe.operators import matching, quality, safety
 from rxframe.operators.captures import parse_captures
 from rxframe.sinks import upsert as U
@@ -79,3 +80,32 @@ def test_few_distinct_names_leave_the_lines_where_they_are(spark, plan):
     lines = spark.createDataFrame([("1", "h", "red rin", "r")], "line_id string, source_file_hash string, drug_name_normalized string, pipeline_run_id string")
     text = plan(matching.match_lines(lines, products, groups, "edit", keep=session.settle))
     assert "Exchange hashpartitioning(q_norm" not in text
+
+
+ODD = ["Tab. A  b", " Tab A", "tab", "T. x-ray", "A-b - c", "a\tb", " Cap x ", "Tab y", "café  au", "\x1ca\x85", "drops x", "Drop. y", "Tab  Tab z", "", " ", "a ", "-", "- a", "Kelvin x", None, "Tab-x", "inj.", "C \x0b", "plain name 12"]
+
+
+def test_texts_without_odd_blanks_skip_the_patterns_and_stay_the_same(spark, plan):
+    names = spark.createDataFrame([(t,) for t in ODD], "t string")
+    c, some = F.col("t"), text.K.FORM_PREFIXES_SHORT
+    stripped = F.trim(F.coalesce(c, F.lit("")), F.lit(text.BLANKS))
+    pairs = {
+        "strip": (text.strip(c), stripped),
+        "norm": (text.norm(c), text._norm(c)),
+        "clean": (text.clean_name(c), F.trim(text._blanks(text.strip_form_prefix(stripped)))),
+        "term": (text.query_term(c), text._norm(text.strip_form_prefix(stripped))),
+        "short": (text.query_term(c, some), text._norm(text.strip_form_prefix(stripped, some))),
+    }
+    for name, (fast, slow) in pairs.items():
+        for row in names.select("t", fast.alias("fast"), slow.alias("slow")).collect():
+            assert row.fast == row.slow, (name, row)
+    # The pattern is one branch only, and a missing quantity is null before the cast, which would fail on ''.
+    for c in (text.norm(c), text.clean_name(c), text.query_term(c)):
+        assert "octet_length(" in plan(names.select(c))
+    said = plan(names.select(text.quantity(F.col("t"))))
+    assert ")) null else try_cast(" in said
+
+
+def test_captures_are_dealt_by_a_number(spark, small, plan):
+    # A bigint is shown with an L.
+    assert len(re.findall(r"Exchange hashpartitioning\(rx_id#\d+L", plan(X.captures(spark, small)))) == 2
