@@ -15,6 +15,8 @@ from rxframe.sinks import upsert as U
 #: Folder name of appended batches.
 BATCH = "append_batch"
 LINE_KEYS = ["source_file_hash", "line_id"]
+#: Lines of one document are stored together.
+NEAR = ["source_file_hash"]
 LAYOUTS = {
     "silver": schemas.SILVER,
     "quarantine": schemas.SILVER,
@@ -81,7 +83,7 @@ class Layers:
 
     def upsert_silver(self, clean: DataFrame, stored: bool = False) -> None:
         order = latest("processed_at", columns=clean.columns)
-        U.upsert(clean, self.silver, LINE_KEYS, order, self.buckets, stored)
+        U.upsert(clean, self.silver, LINE_KEYS, order, self.buckets, stored, NEAR)
 
     def _append(self, rows: DataFrame, path: str, batch: str | None) -> None:
         """Append under the name of a batch; writing a batch of that name again replaces its own rows only."""
@@ -93,7 +95,7 @@ class Layers:
 
     def upsert_gold(self, matched: DataFrame, stored: bool = False) -> None:
         order = latest("matched_at", columns=matched.columns)
-        U.upsert(matched, self.gold, LINE_KEYS, order, self.buckets, stored)
+        U.upsert(matched, self.gold, LINE_KEYS, order, self.buckets, stored, NEAR)
 
     def append_metrics(self, metrics: DataFrame, batch: str | None = None) -> None:
         self._append(metrics, self.metrics, batch)
@@ -101,7 +103,7 @@ class Layers:
     def publish(self, matched: DataFrame, stored: bool = False) -> None:
         """Insert or replace matched lines in the serving copy."""
         order = latest("matched_at", columns=matched.columns)
-        U.upsert(matched, self.serving, LINE_KEYS, order, self.buckets, stored)
+        U.upsert(matched, self.serving, LINE_KEYS, order, self.buckets, stored, NEAR)
 
     def mirror_metrics(self, metrics: DataFrame) -> None:
         """Replace the run's row in the serving copy, maps as JSON text."""

@@ -44,12 +44,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 @dataclass(frozen=True)
 class Version:
-    """What a pointer file says: number, bucket count, columns, and the folder that holds each bucket."""
+    """What a pointer file says: number, bucket count, columns, the folder that holds each bucket, and the keys that deal rows
+    into buckets (none: all)."""
 
     number: int
     buckets: int
     schema: str
     holders: dict[int, str]
+    near: list[str] | None = None
 
 
 def current(spark: SparkSession, path: str) -> Version | None:
@@ -63,7 +65,7 @@ def current(spark: SparkSession, path: str) -> Version | None:
         return None
     text = spark.read.text(f"{path}/{POINTERS}/{done[-1]}", wholetext=True).first()[0]
     found = json.loads(text)
-    return Version(int(done[-1][:-5]), found["buckets"], found["schema"], {int(k): v for k, v in found["holders"].items()})
+    return Version(int(done[-1][:-5]), found["buckets"], found["schema"], {int(k): v for k, v in found["holders"].items()}, found.get("near"))
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:
@@ -85,14 +87,17 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return spark.read.parquet(path)
 
 
-def _merged(kept: DataFrame | None, updates: DataFrame, keys: list[str], order: list[Column], bucket: Column) -> DataFrame:
+def _merged(
+    kept: DataFrame | None, updates: DataFrame, keys: list[str], order: list[Column], bucket: Column, near: list[str] | None = None
+) -> DataFrame:
     """``merge`` with the bucket of every row, in one shuffle and one sort, whose order by bucket the writer needs too.
 
-    As in a join, a key with a null equals no other: stored rows that have one stay.
+    As in a join, a key with a null equals no other: stored rows that have one stay. Rows are dealt by the keys ``near``, if given.
     """
     rows = updates.withColumn("_new", F.lit(True))
     if kept is not None:
         rows = kept.withColumn("_new", F.lit(False)).unionByName(rows)
+    rows = rows.repartition(*near) if near else rows
     rank = F.row_number().over(Window.partitionBy(BUCKET, *keys).orderBy(F.col("_new").desc(), *order))
     stays = (F.col("_rank") == 1) if kept is None else (F.col("_rank") == 1) | (
         ~F.col("_new") & F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
@@ -107,6 +112,7 @@ def upsert(
     order: list[Column],
     buckets: int = 64,
     stored: bool = False,
+    near: list[str] | None = None,
 ) -> None:
     """Update-all / insert-all on ``keys`` into a parquet table.
 
@@ -115,15 +121,17 @@ def upsert(
     place last. A job lost before that leaves the old version untouched, and a second writer of the same version
     fails at the rename. Folders that neither the new nor the previous version uses are removed afterwards. The bucket
     count is part of the version: another count writes the whole table anew. ``stored`` says that ``updates`` are read from
-    a table and need not be written to be read twice.
+    a table and need not be written to be read twice. ``near`` names keys whose equal rows are to lie together, so that values
+    they share are shuffled and stored once, almost; no value of them should hold a large part of the rows. It is part of the
+    version like the bucket count.
     """
     spark = updates.sparkSession
     path = path.rstrip("/")
     old = current(spark, path)
     fresh = uuid.uuid4().hex
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(*(near or keys)), F.lit(buckets)).cast("int")
     held: dict[int, str] = {}
-    if old and old.buckets == buckets:
+    if old and (old.buckets, old.near) == (buckets, near):
         # Updates are stored once, unless they are: their buckets are wanted first, then their rows.
         updates = updates if stored else settle(updates, "updates")
         # At most ``buckets`` numbers come back.
@@ -134,16 +142,16 @@ def upsert(
         paths = [f"{path}/data/{f}/{BUCKET}={b}" for b, f in old.holders.items() if b in touched]
         kind = StructType.fromJson(json.loads(old.schema))
         kept = spark.read.schema(kind).parquet(*paths) if paths else spark.createDataFrame([], kind)
-        rows = _merged(kept.select(*updates.columns), updates, keys, order, bucket)
+        rows = _merged(kept.select(*updates.columns), updates, keys, order, bucket, near)
     elif old:
-        rows = _merged(read_table(spark, path).select(*updates.columns), updates, keys, order, bucket)
+        rows = _merged(read_table(spark, path).select(*updates.columns), updates, keys, order, bucket, near)
     else:
-        rows = _merged(None, updates, keys, order, bucket)
-    rows.write.partitionBy(BUCKET).parquet(f"{path}/data/{fresh}")
+        rows = _merged(None, updates, keys, order, bucket, near)
+    rows.write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{path}/data/{fresh}")
     fs, target = _hadoop(spark, f"{path}/data/{fresh}")
     names = [f.getPath().getName() for f in fs.listStatus(target)]
     held |= {int(n.split("=")[1]): fresh for n in names if n.startswith(f"{BUCKET}=")}
-    _point(spark, path, Version(old.number + 1 if old else 0, buckets, updates.schema.json(), held))
+    _point(spark, path, Version(old.number + 1 if old else 0, buckets, updates.schema.json(), held, near))
     _clean(spark, path, held, old)
 
 
@@ -151,7 +159,7 @@ def _point(spark: SparkSession, path: str, version: Version) -> None:
     jvm = spark._jvm
     fs, folder = _hadoop(spark, f"{path}/{POINTERS}")
     fs.mkdirs(folder)
-    text = json.dumps({"buckets": version.buckets, "schema": version.schema, "holders": version.holders})
+    text = json.dumps({"buckets": version.buckets, "schema": version.schema, "holders": version.holders, "near": version.near})
     draft = jvm.org.apache.hadoop.fs.Path(folder, f"_{uuid.uuid4().hex}")
     final = jvm.org.apache.hadoop.fs.Path(folder, f"{version.number:012d}.json")
     out = fs.create(draft, False)

@@ -74,6 +74,28 @@ def test_upsert_in_one_shuffle_keeps_rows_whose_key_is_null(spark, tmp_path):
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_lines_of_a_document_lie_together(spark, tmp_path):
+    kind, keys, order = "h string, l string, v int", ["h", "l"], [F.col("v").desc()]
+    rows = [(f"{i % 40:064x}", f"{i}", 0) for i in range(400)] + [(None, "1", 0), (None, "2", 0)]
+    first = spark.createDataFrame(rows, kind).repartition(3)
+    again = first.filter("h IS NOT NULL AND CAST(l AS int) < 50").withColumn("v", F.lit(1)).unionByName(first.filter("h IS NULL").withColumn("v", F.lit(2)))
+    places = {}
+    for near in (None, ["h"]):
+        path = f"{tmp_path}/{near and near[0]}"
+        U.upsert(first, path, keys, order, 4, near=near)
+        U.upsert(again, path, keys, order, 4, near=near)
+        places[near and near[0]] = sorted(map(str, U.read_table(spark, path).collect()))
+    assert places[None] == places["h"]
+    found = U.read_table(spark, path).withColumn("file", F.regexp_extract(F.input_file_name(), f"{U.BUCKET}=[0-9]+/[^/]*$", 0))
+    assert found.groupBy("h").agg(F.countDistinct("file").alias("n")).filter("n > 1").count() == 0
+    # A table dealt by other keys is written anew, and no row is found twice.
+    path = f"{tmp_path}/None"
+    U.upsert(again, path, keys, order, 4, near=["h"])
+    assert U.current(spark, path).near == ["h"]
+    again_read = U.read_table(spark, path)
+    assert again_read.filter("h IS NOT NULL").groupBy("h", "l").count().filter("count > 1").count() == 0
+
+
 def test_few_distinct_names_leave_the_lines_where_they_are(spark, plan):
     products = spark.createDataFrame([("red ring", 1.0, 0, "s", "s", "red", "red ring")], "name string, price double, pos long, salt string, signature string, block_key string, name_norm string")
     groups = spark.createDataFrame([("s", "red ring", 1.0)], "signature string, generic_name string, generic_price double")
