@@ -168,6 +168,11 @@ def products(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.import_products(catalogue_rows(spark, d), SPELLING)
 
 
+def stored_products(spark: SparkSession, d: str) -> DataFrame:
+    """The products as a written table, for queries that read them several times."""
+    return settle(products(spark, d), "products")
+
+
 def curated_source(spark: SparkSession, d: str) -> DataFrame:
     """Curated brands: one per name and size among the promotional parts."""
     first = F.min(F.struct("p_partkey", "p_retailprice", "p_brand")).alias("f")
@@ -205,20 +210,20 @@ def curated(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def entries(spark: SparkSession, d: str) -> DataFrame:
-    items = products(spark, d)
+def entries(spark: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
+    items = products(spark, d) if items is None else items
     return matching.entries(
         curated(spark, d), items, catalogue.signature_groups(items), SPELLING
     )
 
 
-def terms(spark: SparkSession, d: str) -> DataFrame:
-    return matching.term_index(curated(spark, d), products(spark, d))
+def terms(spark: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
+    return matching.term_index(curated(spark, d), products(spark, d) if items is None else items)
 
 
-def stored_terms(spark: SparkSession, d: str) -> DataFrame:
+def stored_terms(spark: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
     """The search terms as a written table: matching reads them several times."""
-    return settle(terms(spark, d), "terms")
+    return settle(terms(spark, d, items), "terms")
 
 
 def rules(spark: SparkSession, d: str) -> DataFrame:
@@ -240,9 +245,8 @@ def rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference(spark: SparkSession, d: str) -> Reference:
-    return Reference(
-        stored_terms(spark, d), entries(spark, d), products(spark, d), rules(spark, d)
-    )
+    items = stored_products(spark, d)
+    return Reference(stored_terms(spark, d, items), entries(spark, d, items), items, rules(spark, d))
 
 
 def baskets(spark: SparkSession, d: str) -> DataFrame:

@@ -220,7 +220,7 @@ def replay_lines(spark, d):
     """Silver after a run and a replay of the stored captures."""
     layers = _layers(spark)
     layers.append_bronze(X.captures(spark, d))
-    items = X.products(spark, d)
+    items = X.stored_products(spark, d)
     pipeline.replay(spark, items, layers, scorer="edit", at=X.processed_at())
     pipeline.replay(spark, items, layers, "1996-01-01", "1997-12-31", "edit", X.processed_at())
     return layers.read(spark, "silver").select(*LINE_COLUMNS)
@@ -307,7 +307,7 @@ def incremental_refine(spark, d):
     """Stored captures refined by a stream that is started twice."""
     layers = _layers(spark)
     layers.append_bronze(X.captures(spark, d))
-    items = session.settle(X.products(spark, d))
+    items = X.stored_products(spark, d)
     for _ in range(2):
         ingest.refine_new_captures(
             spark, layers, items, f"{layers.root}/checkpoint", "edit", X.processed_at()
@@ -320,7 +320,7 @@ def retried_quarantine(spark, d):
     """Rejections of a micro-batch that fails after its appends and is run again: each once."""
     layers = _layers(spark)
     layers.append_bronze(X.captures(spark, d))
-    items = session.settle(X.products(spark, d))
+    items = X.stored_products(spark, d)
     lost = []
 
     def fail_once(number):
@@ -346,7 +346,7 @@ def backfill_window(spark, d):
     layers = _layers(spark)
     layers.append_bronze(X.captures(spark, d))
     pipeline.replay(
-        spark, X.products(spark, d), layers, "1997-01-01", "1997-06-30", "edit", X.processed_at()
+        spark, X.stored_products(spark, d), layers, "1997-01-01", "1997-06-30", "edit", X.processed_at()
     )
     return layers.read(spark, "silver").select(*LINE_COLUMNS)
 
@@ -395,7 +395,7 @@ def all_entries(spark, d):
 
 
 def _edit_match(spark, d, clean=None):
-    items = X.products(spark, d)
+    items = X.stored_products(spark, d)
     return matching.match_lines(
         _clean_names(spark, d, *MATCH_INPUT) if clean is None else clean,
         items,
@@ -414,7 +414,7 @@ def fuzzy_match_levenshtein(spark, d):
 
 @query
 def fuzzy_match_wratio(spark, d):
-    items = X.products(spark, d)
+    items = X.stored_products(spark, d)
     return matching.match_lines(
         _clean_names(spark, d, *MATCH_INPUT),
         items,
@@ -463,13 +463,13 @@ def best_of_two_edit(spark, d):
 @query
 def noisy_names(spark, d):
     """A sample as long as the catalogue and a half, so that names repeat."""
-    items = X.products(spark, d).select("pos", "name")
+    items = X.stored_products(spark, d).select("pos", "name")
     return sampling.noisy_sample(items, 3 * items.count() // 2)
 
 
 @query
 def match_quality(spark, d):
-    items = X.products(spark, d)
+    items = X.stored_products(spark, d)
     noisy = session.settle(sampling.noisy_sample(items.select("pos", "name"), items.count()))
     lines = noisy.select(
         "line_id",
@@ -481,7 +481,7 @@ def match_quality(spark, d):
         lines, items, catalogue.signature_groups(items), keep=session.settle
     )
     names = noisy.select("line_id", F.col("noisy").alias("name"))
-    tiered = matching.tiered_match(names, X.stored_terms(spark, d), keep=session.settle)
+    tiered = matching.tiered_match(names, X.stored_terms(spark, d, items), keep=session.settle)
     return sampling.match_quality(batch, tiered)
 
 
@@ -506,8 +506,9 @@ def prefix_suggest(spark, d):
     asked = part.select(
         F.explode(F.array(*[F.upper(F.substring(name, 1, n)) for n in (1, 3, 6, 40)])).alias("query")
     ).distinct()
-    names = matching.search_names(X.curated(spark, d), X.products(spark, d))
-    return alternatives.suggest(asked, names, X.terms(spark, d), X.entries(spark, d), 8)
+    items = X.stored_products(spark, d)
+    names = matching.search_names(X.curated(spark, d), items)
+    return alternatives.suggest(asked, names, X.terms(spark, d, items), X.entries(spark, d, items), 8)
 
 
 def _salt_info(spark, d):
@@ -522,12 +523,12 @@ def _salt_info(spark, d):
 @query
 def medicine_detail(spark, d):
     """Details of every product under its exact name."""
-    names = X.products(spark, d).select("name").distinct()
+    items = X.stored_products(spark, d)
     detail = alternatives.medicine_detail(
-        names,
-        X.stored_terms(spark, d),
-        X.entries(spark, d),
-        X.products(spark, d),
+        items.select("name").distinct(),
+        X.stored_terms(spark, d, items),
+        X.entries(spark, d, items),
+        items,
         _salt_info(spark, d),
     )
     return detail.select(
@@ -693,7 +694,7 @@ def match_stats(spark, d):
 def _metrics(spark, d):
     captured = X.captures(spark, d)
     checked = session.settle(_lines(spark, d), "checked")
-    items = X.products(spark, d)
+    items = X.stored_products(spark, d)
     clean = checked.filter("rejection_reason IS NULL")
     matched = matching.match_lines(
         clean,

@@ -92,7 +92,10 @@ def term_index(curated: DataFrame, products: DataFrame) -> DataFrame:
             )
         ).alias("variant", "term"),
     ).withColumn("term", text.norm(F.col("term")))
-    from_bulk = products.select(
+    # Only the first product of a name can be the first of a term, so names are stripped once, however many products share one.
+    # A product without a position comes first.
+    own = F.when(F.count("pos") == F.count(F.lit(1)), F.min("pos")).alias("pos")
+    from_bulk = products.groupBy("name_norm").agg(own).select(
         F.lit(BULK).alias("tier"),
         "pos",
         F.posexplode(

@@ -24,20 +24,27 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_products(rows: DataFrame, spelling: dict[str, str] = K.SPELLING) -> DataFrame:
-    """Sellable products with a readable price and at least one ingredient."""
+    """Sellable products with a readable price and at least one ingredient.
+
+    A list of any length may be one file that one task reads, so its rows are dealt out before their texts are parsed.
+    """
     def stated(column: str):
         return text.strip(F.trim(text.strip(F.col(column)), F.lit(","))) != ""
 
-    price = text.strip(F.col("price")).try_cast("double")
-    parsed = rows.filter(
-        (F.upper(text.strip(F.col("is_discontinued"))) != "TRUE")
-        & (price > 0)
-        & (stated("short_composition1") | stated("short_composition2"))
-    ).select(
+    # As the element of an array these are computed once and after the rows are dealt out: a filter on plain columns would be
+    # moved to the task that reads the file.
+    once = F.struct(
+        (F.upper(text.strip(F.col("is_discontinued"))) != "TRUE").alias("on_sale"),
+        text.strip(F.col("price")).try_cast("double").alias("price"),
+        (stated("short_composition1") | stated("short_composition2")).alias("stated"),
+    )
+    dealt = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "pos")
+    judged = dealt.withColumn("o", F.explode(F.array(once)))
+    parsed = judged.filter(F.col("o.on_sale") & (F.col("o.price") > 0) & F.col("o.stated")).select(
         "pos",
         text.strip(F.col("name")).alias("name"),
         text.strip(F.col("pack")).alias("pack"),
-        price.alias("price"),
+        F.col("o.price").alias("price"),
         composition.components_of(
             F.array("short_composition1", "short_composition2"), spelling
         ).alias("parts"),
