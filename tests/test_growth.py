@@ -10,8 +10,9 @@ from rxframe import session
 from rxframe.functions import text
 from rxframe.operators import matching, quality, safety
 from rxframe.operators.captures import parse_captures
+from rxframe.plans import lookup
 from rxframe.sinks import upsert as U
-from rxframe.sources import landing
+from rxframe.sources import catalogue, landing
 
 RULES = "salts array<string>, severity string, effect string, advice string, rule_pos long"
 
@@ -131,3 +132,37 @@ def test_texts_without_odd_blanks_skip_the_patterns_and_stay_the_same(spark, pla
 def test_captures_are_dealt_by_a_number(spark, small, plan):
     # A bigint is shown with an L.
     assert len(re.findall(r"Exchange hashpartitioning\(rx_id#\d+L", plan(X.captures(spark, small)))) == 2
+
+
+def _catalogue(spark, rows):
+    kind = "pos long, name string, price string, is_discontinued string, pack string, short_composition1 string, short_composition2 string"
+    return spark.createDataFrame(rows, kind).coalesce(1)
+
+
+def test_a_catalogue_in_one_file_is_parsed_by_many_tasks(spark, plan):
+    rows = [(i, f"drug {i % 5} tablet", "9.5", " true " if i == 1 else "FALSE", "p", f"x ({i % 3}mg)", None) for i in range(64)]
+    rows += [(100, "a", None, "FALSE", "p", "x", None), (101, "b", "0", "FALSE", "p", "x", None), (102, "c", "1", "FALSE", "p", " , ", ""),
+             (103, "d", " 1 ", "FALSE", "p", None, " y 5mg,"), (104, "e", "1", None, "p", "x", None), (105, "f", "1", "no", "p", None, None)]
+    items = catalogue.import_products(_catalogue(spark, rows), {})
+    read = plan(items).split("Exchange", 1)[1]
+    assert "trim" not in read and "Filter" not in read
+    assert sorted(r.pos for r in items.collect()) == [0, *range(2, 64), 103, 104]
+    assert items.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_terms_of_one_name_are_stripped_once(spark, plan):
+    rows = [(i, "drug tablet", "1", "FALSE", "p", "x", None) for i in (7, 3, 5)] + [(4, "drug", "1", "FALSE", "p", "x", None), (None, "odd", "1", "FALSE", "p", "x", None), (1, "odd", "1", "FALSE", "p", "x", None)]
+    none = spark.createDataFrame([], "pos long, brand string, aliases array<string>, salt string")
+    found = matching.term_index(none, catalogue.import_products(_catalogue(spark, rows), {}))
+    assert sorted((r.term, r.tier, r.pos, r.variant) for r in found.filter("pos IS NOT NULL").collect()) == [("drug", 1, 3, 1), ("drug tablet", 1, 3, 0)]
+    assert [r.term for r in found.filter("pos IS NULL").collect()] == ["odd"]
+    text = plan(found)
+    assert re.search(r"Generate posexplode.*\n(.*\n)*?.*HashAggregate\(keys=\[name_norm", text)
+
+
+def test_products_of_a_reference_are_parsed_once(spark, small, plan):
+    ref = X.reference(spark, small)
+    for rows in (ref.terms, ref.entries.filter("tier = 1"), ref.products):
+        assert not [f for f in rows.inputFiles() if "part.parquet" in f]
+    found = lookup.match_requests(lookup.names_as_requests(X.rx_lines(spark, small).select("rx_id", "position", "name")), ref, keep=session.settle)
+    assert [f for f in found.inputFiles() if "/entries/" in f] and "BroadcastHashJoin [tier" in plan(found)
