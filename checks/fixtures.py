@@ -103,11 +103,18 @@ def _medicine() -> Column:
 
 
 def captures(spark: SparkSession, d: str) -> DataFrame:
-    """Bronze rows: one JSON document per order, some broken on purpose."""
-    # A number is sorted and compared faster than its text.
+    """Bronze rows: one JSON document per order, some broken on purpose.
+
+    The medicines of a document lie in the order of ``rx_lines``, but their numbers are not needed: the arrays are sorted by what
+    the lines would be numbered by. So lines are dealt and sorted by the number of the order alone.
+    """
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), _short_name().alias("name"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER, F.monotonically_increasing_id().alias("_row"))
+    lines = rows.join(part, "l_partkey").withColumn("rx_id", F.col("l_orderkey").cast("bigint"))
     items = (
-        rx_lines(spark, d, kind="bigint")
-        .select("rx_id", F.struct("position", _medicine().alias("m")).alias("item"))
+        lines.repartition("rx_id")
+        .sortWithinPartitions("rx_id")
+        .select("rx_id", F.struct(*LINE_ORDER, "_row", _medicine().alias("m")).alias("item"))
         .groupBy("rx_id")
         .agg(F.sort_array(F.collect_list("item")).alias("items"))
     )

@@ -166,3 +166,18 @@ def test_products_of_a_reference_are_parsed_once(spark, small, plan):
         assert not [f for f in rows.inputFiles() if "part.parquet" in f]
     found = lookup.match_requests(lookup.names_as_requests(X.rx_lines(spark, small).select("rx_id", "position", "name")), ref, keep=session.settle)
     assert [f for f in found.inputFiles() if "/entries/" in f] and "BroadcastHashJoin [tier" in plan(found)
+
+
+def test_captures_need_no_numbers_of_their_lines(spark, tmp_path, plan):
+    when = F.lit("1997-01-02").cast("timestamp")
+    lines = [(5, 2, 5, 1, 1.0, 1.0, "A"), (5, 1, 5, 1, 1.0, 1.0, "A"), (5, 1, 5, 1, 1.0, 1.0, "A"), (5, 9, 5, None, 1.0, 1.0, "A"), (5, 2, 5, None, None, 2.0, None), (None, 1, 5, 1, 1.0, 1.0, "N")]
+    parts = [(1, "pale bolt", 3), (1, "dark bolt", 3), (2, "red nut", 4), (None, "odd", 5)]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string"
+    spark.createDataFrame(lines, columns).withColumn("l_shipdate", when).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(5,), (4,)], "o_orderkey long").withColumn("o_orderdate", when).write.parquet(f"{tmp_path}/orders.parquet")
+    found = X.captures(spark, str(tmp_path))
+    assert "Window" not in plan(found)
+    spoken = [re.findall(r'"raw_text":"Tab ([^"]*)"', r.raw_response) for r in found.collect()]
+    # Both parts of a key stand beside each other, once for every line; the line without a number comes first.
+    assert sorted(spoken) == [[], ["red nut 4", "dark bolt 3", "pale bolt 3", "dark bolt 3", "pale bolt 3", "red nut 4"]]
