@@ -1,6 +1,7 @@
 """What keeps figures of large tables in proportion: files of bounded size, few shuffles, patterns matched once."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -181,3 +182,56 @@ def test_captures_need_no_numbers_of_their_lines(spark, tmp_path, plan):
     spoken = [re.findall(r'"raw_text":"Tab ([^"]*)"', r.raw_response) for r in found.collect()]
     # Both parts of a key stand beside each other, once for every line; the line without a number comes first.
     assert sorted(spoken) == [[], ["red nut 4", "dark bolt 3", "pale bolt 3", "dark bolt 3", "pale bolt 3", "red nut 4"]]
+
+
+def test_requests_number_their_lines_before_they_meet_the_parts(spark, small, plan):
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(X.requests(spark, small))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    by_part = text.index("Exchange hashpartitioning(l_partkey")
+    assert by_part < text.index("Window ") < text.index("Exchange hashpartitioning(rx_id")
+    assert "l_extendedprice" not in text[by_part:].split("\n", 2)[1]
+    numbered = X.rx_lines(spark, small).select("rx_id", "position", F.concat(F.lit("Tab "), "name").alias("n"))
+    asked = X.requests(spark, small).filter("raw_text <> ' '").select("rx_id", "position", F.col("raw_text").alias("n"))
+    kept = numbered.filter("CAST(rx_id AS bigint) % 50 <> 3")
+    assert asked.exceptAll(kept).count() == 0 and kept.exceptAll(asked).count() == 0
+
+
+def test_a_lookup_deals_its_lines_once(spark, plan):
+    terms = spark.createDataFrame([("red", 1, 0, 0), ("blue", 1, 1, 0)], "term string, tier int, pos long, variant int")
+    items = spark.createDataFrame([(0, "red", ["p", "q"], "s"), (1, "blue", ["q"], "s")], "pos long, name string, salt_keys array<string>, signature string")
+    items = items.withColumns({"price": F.lit(2.0), "pack": F.lit("x"), "name_norm": F.col("name")})
+    entries = items.select(
+        F.lit(1).alias("tier"), "pos", F.col("name").alias("brand"), F.lit("p").alias("salt"), "salt_keys", F.lit("c").alias("category"), "pack",
+        F.col("price").alias("brand_price"), F.lit("red").alias("generic_name"), F.lit(1.0).alias("generic_price"), F.lit("d").alias("price_asof"), "signature",
+        F.lit(2).alias("same_salt_brands"),
+    )
+    rules = spark.createDataFrame([(["p", "q"], "major", "e", "v", 0)], RULES)
+    asked = spark.createDataFrame([("r", 0, "red"), ("r", 1, "blue"), (None, 0, "red"), (None, 1, "blue")], "rx_id string, position int, name string")
+    found = lookup.lookup(lookup.names_as_requests(asked), lookup.Reference(terms, entries, items, rules))
+    assert len(re.findall(r"Exchange hashpartitioning\(rx_id", plan(found.interactions))) == 1
+    assert [f for f in found.medicines.inputFiles() if "/cheapest/" in f]
+    assert sorted((r.rx_id, r.brand_a, r.brand_b, r.rule_pos) for r in found.interactions.collect()) == [("r", "red", "blue", -1), ("r", "red", "blue", 0)]
+    assert found.medicines.count() == 4
+
+
+def _shuffles(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def test_shuffle_files_of_a_packed_table_go(spark):
+    before = _shuffles(spark)
+    rows = session.pack(spark.range(1000).repartition(5, "id"), "numbers")
+    until = time.time() + 20
+    while _shuffles(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not _shuffles(spark) - before
+    assert rows.count() == 1000 and spark.conf.get(session.SWEEP) == "false"
+    with session.passing() as keep:
+        path = keep(rows, "numbers").inputFiles()[0]
+        assert U.exists(spark, path)
+    assert not U.exists(spark, path)
