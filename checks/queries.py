@@ -221,8 +221,10 @@ def replay_lines(spark, d):
     layers = _layers(spark)
     layers.append_bronze(X.captures(spark, d))
     items = X.stored_products(spark, d)
-    pipeline.replay(spark, items, layers, scorer="edit", at=X.processed_at())
-    pipeline.replay(spark, items, layers, "1996-01-01", "1997-12-31", "edit", X.processed_at())
+    with session.passing() as keep:
+        pipeline.replay(spark, items, layers, scorer="edit", at=X.processed_at(), keep=keep)
+    with session.passing() as keep:
+        pipeline.replay(spark, items, layers, "1996-01-01", "1997-12-31", "edit", X.processed_at(), keep)
     return layers.read(spark, "silver").select(*LINE_COLUMNS)
 
 

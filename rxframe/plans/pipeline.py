@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from rxframe import schemas
 from rxframe.operators import matching, quality, reports
 from rxframe.operators.captures import parse_captures
-from rxframe.session import settle
+from rxframe.session import pack, passing
 from rxframe.sinks.layers import Layers
 from rxframe.sinks.upsert import last_wins
 from rxframe.sources.catalogue import signature_groups
@@ -36,12 +37,14 @@ def refine(
     at: Column | None = None,
     durations: dict | None = None,
     batch: str | None = None,
+    keep: Callable = pack,
 ) -> tuple[DataFrame, DataFrame]:
     """Bronze rows into silver, quarantine and gold; returns (checked lines, matched lines).
 
     Only clean lines are matched. Running it again on the same rows changes nothing but the
     quarantine, which keeps every rejection (see ``quarantine_view``). A ``batch`` that is run again
-    replaces its own rejections too, so then nothing changes at all.
+    replaces its own rejections too, so then nothing changes at all. ``keep`` stores the returned lines: that of
+    ``session.passing`` drops them where the layers are all that is wanted.
     """
     durations = {} if durations is None else durations
 
@@ -52,7 +55,7 @@ def refine(
         return out
 
     checked = timed(
-        "normalize", lambda: settle(quality.check(parse_captures(bronze, at)), "checked")
+        "normalize", lambda: keep(quality.check(parse_captures(bronze, at)), "checked")
     )
     clean = checked.filter("rejection_reason IS NULL")
 
@@ -60,14 +63,13 @@ def refine(
         layers.upsert_silver(clean, stored=True)
         layers.append_quarantine(checked.filter("rejection_reason IS NOT NULL"), batch)
 
+    def match():
+        with passing() as brief:
+            found = matching.match_lines(clean, products, signature_groups(products), scorer, matched_at=at, keep=brief)
+            return keep(found, "matched")
+
     timed("silver", silver)
-    matched = timed(
-        "match",
-        lambda: settle(
-            matching.match_lines(clean, products, signature_groups(products), scorer, matched_at=at, keep=settle),
-            "matched",
-        ),
-    )
+    matched = timed("match", match)
     timed("gold", lambda: layers.upsert_gold(matched, stored=True))
     return checked, matched
 
@@ -115,24 +117,27 @@ def run(
 
 def _run(spark, captures, products, layers, run_id, scorer, started, durations) -> DataFrame:
     begin = time.monotonic()
-    bronze = settle(captures.withColumn("pipeline_run_id", F.lit(run_id)), "captures")
-    layers.append_bronze(bronze)
-    durations["bronze"] = round(time.monotonic() - begin, 2)
-    checked, matched = refine(bronze, products, layers, scorer, durations=durations, batch=_batch(run_id, started))
-    begin = time.monotonic()
-    layers.publish(matched, stored=True)
-    durations["load"] = round(time.monotonic() - begin, 2)
-    runs = _metrics_row(spark, run_id, started, durations, "success")
-    metrics = settle(
-        reports.run_metrics(
-            runs,
-            bronze,
-            checked.filter("rejection_reason IS NULL"),
-            quality.failure_counts(checked, "pipeline_run_id"),
-            matched,
-        ),
-        "metrics",
-    )
+    with passing() as keep:
+        bronze = keep(captures.withColumn("pipeline_run_id", F.lit(run_id)), "captures")
+        layers.append_bronze(bronze, stored=True)
+        durations["bronze"] = round(time.monotonic() - begin, 2)
+        checked, matched = refine(
+            bronze, products, layers, scorer, durations=durations, batch=_batch(run_id, started), keep=keep
+        )
+        begin = time.monotonic()
+        layers.publish(matched, stored=True)
+        durations["load"] = round(time.monotonic() - begin, 2)
+        runs = _metrics_row(spark, run_id, started, durations, "success")
+        metrics = pack(
+            reports.run_metrics(
+                runs,
+                bronze,
+                checked.filter("rejection_reason IS NULL"),
+                quality.failure_counts(checked, "pipeline_run_id"),
+                matched,
+            ),
+            "metrics",
+        )
     layers.append_metrics(metrics, _batch(run_id, started))
     layers.mirror_metrics(metrics)
     return metrics
@@ -146,10 +151,11 @@ def replay(
     last_date: str | None = None,
     scorer: str = "weighted",
     at: Column | None = None,
+    keep: Callable = pack,
 ) -> tuple[DataFrame, DataFrame]:
     """Rebuild lines and matches from stored captures of a date range; no new captures."""
     bronze = layers.read_bronze(spark, first_date=first_date, last_date=last_date)
-    return refine(bronze, products, layers, scorer, at)
+    return refine(bronze, products, layers, scorer, at, keep=keep)
 
 
 def quarantine_view(quarantine: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rxframe import schemas
+from rxframe.session import passing, swept
 from rxframe.sinks import upsert as U
 
 #: Folder name of appended batches.
@@ -69,16 +70,18 @@ class Layers:
 
     # --- writes ---------------------------------------------------------------
 
-    def append_bronze(self, captures: DataFrame) -> int:
-        """Append captures by date and return how many; the rows are computed once."""
+    def append_bronze(self, captures: DataFrame, stored: bool = False) -> int:
+        """Append captures by date and return how many; the rows are computed once.
+
+        They are written before they are dealt out by date, unless they are ``stored``, so that the shuffles that make them and
+        the one that deals out their texts are not on disk together.
+        """
         seen = Observation("bronze")
-        (
-            captures.observe(seen, F.count(F.lit(1)).alias("rows"))
-            .hint("rebalance", "ingest_date")
-            .write.mode("append")
-            .partitionBy("ingest_date")
-            .parquet(self.bronze)
-        )
+        counted = captures.observe(seen, F.count(F.lit(1)).alias("rows"))
+        with passing() as keep, swept(captures.sparkSession):
+            rows = counted if stored else keep(counted, "captures")
+            dealt = rows.hint("rebalance", "ingest_date").write.mode("append").option("compression", "zstd")
+            dealt.partitionBy("ingest_date").parquet(self.bronze)
         return seen.get["rows"]
 
     def upsert_silver(self, clean: DataFrame, stored: bool = False) -> None:
@@ -88,7 +91,8 @@ class Layers:
     def _append(self, rows: DataFrame, path: str, batch: str | None) -> None:
         """Append under the name of a batch; writing a batch of that name again replaces its own rows only."""
         named = rows.withColumn(BATCH, F.lit(batch or uuid.uuid4().hex))
-        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+        with swept(rows.sparkSession):
+            named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
 
     def append_quarantine(self, rejected: DataFrame, batch: str | None = None) -> None:
         self._append(rejected, self.quarantine, batch)

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rxframe.session import settle
+from rxframe.session import passing, swept
 
 BUCKET = "key_bucket"
 POINTERS = "pointers"
+#: Stored bytes of updates and old rows that one job of an upsert deals out, if whole buckets can be that small.
+SLICE = 1 << 31
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -105,6 +107,13 @@ def _merged(
     return rows.withColumn(BUCKET, bucket).withColumn("_rank", rank).filter(stays).drop("_rank", "_new")
 
 
+def _slices(rows: list[DataFrame | None], buckets: list[int], most: int) -> list[list[int]]:
+    """The buckets in groups whose rows, read from files, have about ``most`` bytes there."""
+    size = sum(int(str(r._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for r in rows if r is not None)
+    n = min(len(buckets), -(-size // most))
+    return [buckets[i::n] for i in range(n)] if n > 1 else [buckets]
+
+
 def upsert(
     updates: DataFrame,
     path: str,
@@ -121,33 +130,46 @@ def upsert(
     place last. A job lost before that leaves the old version untouched, and a second writer of the same version
     fails at the rename. Folders that neither the new nor the previous version uses are removed afterwards. The bucket
     count is part of the version: another count writes the whole table anew. ``stored`` says that ``updates`` are read from
-    a table and need not be written to be read twice. ``near`` names keys whose equal rows are to lie together, so that values
+    a table and need not be written to be read twice. Rows that are read from tables, as all are but the first ones of a table
+    that come from elsewhere, are dealt out ``SLICE`` bytes at a time, some buckets in each job, whose shuffle files go before the
+    next one: the disk holds the shuffle of one job, not of the whole table. ``near`` names keys whose equal rows are to lie together, so that values
     they share are shuffled and stored once, almost; no value of them should hold a large part of the rows. It is part of the
     version like the bucket count.
     """
+    with passing() as keep:
+        _upsert(updates, path.rstrip("/"), keys, order, buckets, stored, near, keep)
+
+
+def _upsert(updates, path, keys, order, buckets, stored, near, keep) -> None:
     spark = updates.sparkSession
-    path = path.rstrip("/")
     old = current(spark, path)
     fresh = uuid.uuid4().hex
     bucket = F.pmod(F.xxhash64(*(near or keys)), F.lit(buckets)).cast("int")
     held: dict[int, str] = {}
     if old and (old.buckets, old.near) == (buckets, near):
         # Updates are stored once, unless they are: their buckets are wanted first, then their rows.
-        updates = updates if stored else settle(updates, "updates")
+        updates = updates if stored else keep(updates, "updates")
         # At most ``buckets`` numbers come back.
         touched = {r[0] for r in updates.select(bucket).distinct().collect()}
         if not touched:
             return
         held = {b: f for b, f in old.holders.items() if b not in touched}
-        paths = [f"{path}/data/{f}/{BUCKET}={b}" for b, f in old.holders.items() if b in touched]
         kind = StructType.fromJson(json.loads(old.schema))
-        kept = spark.read.schema(kind).parquet(*paths) if paths else spark.createDataFrame([], kind)
-        rows = _merged(kept.select(*updates.columns), updates, keys, order, bucket, near)
+
+        def kept_of(some: list[int]) -> DataFrame | None:
+            paths = [f"{path}/data/{f}/{BUCKET}={b}" for b, f in old.holders.items() if b in some]
+            return spark.read.schema(kind).parquet(*paths) if paths else None
+
+        jobs = [(kept_of(some), some) for some in _slices([updates, kept_of([*touched])], sorted(touched), SLICE)]
     elif old:
-        rows = _merged(read_table(spark, path).select(*updates.columns), updates, keys, order, bucket, near)
+        jobs = [(read_table(spark, path), None)]
     else:
-        rows = _merged(None, updates, keys, order, bucket, near)
-    rows.write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{path}/data/{fresh}")
+        jobs = [(None, some) for some in (_slices([updates], [*range(buckets)], SLICE) if stored else [None])]
+    for kept, some in jobs:
+        wanted = updates if len(jobs) == 1 else updates.filter(bucket.isin(some))
+        rows = _merged(None if kept is None else kept.select(*updates.columns), wanted, keys, order, bucket, near)
+        with swept(spark):
+            rows.write.mode("append").partitionBy(BUCKET).option("compression", "zstd").parquet(f"{path}/data/{fresh}")
     fs, target = _hadoop(spark, f"{path}/data/{fresh}")
     names = [f.getPath().getName() for f in fs.listStatus(target)]
     held |= {int(n.split("=")[1]): fresh for n in names if n.startswith(f"{BUCKET}=")}

@@ -1,7 +1,10 @@
 """What keeps figures of large tables in proportion: files of bounded size, few shuffles, patterns matched once."""
 
+import glob
+import os
 import re
 import time
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -235,3 +238,33 @@ def test_shuffle_files_of_a_packed_table_go(spark):
         path = keep(rows, "numbers").inputFiles()[0]
         assert U.exists(spark, path)
     assert not U.exists(spark, path)
+
+
+def test_an_upsert_in_slices_gives_the_same_rows(spark, tmp_path, monkeypatch):
+    kind, keys, order = "h string, l string, v int", ["h", "l"], [F.col("v").desc()]
+    first = session.settle(spark.createDataFrame([(f"{i % 40}", f"{i}", 0) for i in range(400)] + [(None, "1", 0)], kind))
+    again = session.settle(spark.createDataFrame([(f"{i % 40}", f"{i}", v) for i in range(0, 400, 7) for v in (1, 2)] + [(None, "1", 1), ("7", None, 1)], kind))
+    found, jobs = {}, []
+    merged = U._merged
+    monkeypatch.setattr(U, "_merged", lambda *a: jobs.append(1) or merged(*a))
+    for most in (U.SLICE, 1):
+        monkeypatch.setattr(U, "SLICE", most)
+        path = f"{tmp_path}/{most}"
+        U.upsert(first, path, keys, order, 4, stored=True, near=["h"])
+        U.upsert(again, path, keys, order, 4, stored=True, near=["h"])
+        found[most] = (sorted(map(str, U.read_table(spark, path).collect())), len(jobs), sorted(U.current(spark, path).holders))
+    whole, cut = found.values()
+    assert (whole[0], whole[2]) == (cut[0], cut[2]) and (whole[1], cut[1]) == (2, 10)
+
+
+def _left(spark, small, query, tmp_path, monkeypatch) -> set[str]:
+    """What a query leaves in the scratch folder beside its layers."""
+    monkeypatch.setattr(session, "scratch_root", lambda spark: f"{tmp_path}/rxframe-{uuid.uuid4().hex}")
+    assert Q.QUERIES[query](spark, small).count() > 5000
+    found = {os.path.basename(f) for f in glob.glob(f"{tmp_path}/rxframe-*/*")}
+    assert {"bronze", "silver", "gold", "quarantine"} < found
+    return found - {"bronze", "silver", "gold", "quarantine", "products", "checkpoint"}
+
+
+def test_a_replay_leaves_its_layers_only(spark, small, tmp_path, monkeypatch):
+    assert not _left(spark, small, "replay_lines", tmp_path, monkeypatch)
