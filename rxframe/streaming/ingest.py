@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rxframe import constants as K
 from rxframe import schemas
 from rxframe.plans.pipeline import refine
+from rxframe.session import passing
 from rxframe.sinks.layers import Layers
 from rxframe.sources import landing
 
@@ -69,7 +70,8 @@ def refine_new_captures(
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def batch(rows: DataFrame, number: int) -> None:
-        refine(rows, products, layers, scorer, at, batch=f"stream-{stream}-{number:09d}")
+        with passing() as keep:
+            refine(rows, products, layers, scorer, at, batch=f"stream-{stream}-{number:09d}", keep=keep)
         if after:
             after(number)
 

@@ -268,3 +268,7 @@ def _left(spark, small, query, tmp_path, monkeypatch) -> set[str]:
 
 def test_a_replay_leaves_its_layers_only(spark, small, tmp_path, monkeypatch):
     assert not _left(spark, small, "replay_lines", tmp_path, monkeypatch)
+
+
+def test_a_micro_batch_leaves_its_layers_only(spark, small, tmp_path, monkeypatch):
+    assert not _left(spark, small, "incremental_refine", tmp_path, monkeypatch)
